@@ -1,0 +1,20 @@
+"""Every registered query, and the SQL that checks it."""
+
+from importlib import import_module
+
+GROUPS = ["profiling", "statistics"]
+
+
+def _collect(kind: str) -> dict:
+    found = {}
+    for group in GROUPS:
+        found |= getattr(import_module(f"catalog.{group}"), kind)
+    return found
+
+
+def queries() -> dict:
+    return _collect("QUERIES")
+
+
+def oracles() -> dict:
+    return _collect("ORACLES")

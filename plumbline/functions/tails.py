@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -93,20 +92,21 @@ def t_tail(t: float, dof: float) -> float:
     return beta_part(dof / (dof + t * t), dof / 2, 0.5)
 
 
-def _udf(rule):
-    def apply(*columns: pd.Series) -> pd.Series:
-        out = [rule(*map(float, row)) if not any(pd.isna(v) for v in row) else np.nan for row in zip(*columns)]
-        return pd.Series([None if math.isnan(v) else v for v in out], dtype=object)
-    return apply
+def _by_row(rule, *columns: pd.Series) -> pd.Series:
+    values = [rule(*map(float, row)) if not any(pd.isna(v) for v in row) else math.nan for row in zip(*columns)]
+    return pd.Series([None if math.isnan(v) else v for v in values], dtype=object)
 
 
-def chi2_sf(x, dof):
-    return F.pandas_udf(lambda a, b: _udf(chi2_tail)(a, b), "double", F.PandasUDFType.SCALAR)(x, dof)
+@F.pandas_udf("double")
+def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
+    return _by_row(chi2_tail, x, dof)
 
 
-def f_sf(f, d1, d2):
-    return F.pandas_udf(lambda a, b, c: _udf(f_tail)(a, b, c), "double", F.PandasUDFType.SCALAR)(f, d1, d2)
+@F.pandas_udf("double")
+def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    return _by_row(f_tail, f, d1, d2)
 
 
-def t_sf(t, dof):
-    return F.pandas_udf(lambda a, b: _udf(t_tail)(a, b), "double", F.PandasUDFType.SCALAR)(t, dof)
+@F.pandas_udf("double")
+def t_sf(t: pd.Series, dof: pd.Series) -> pd.Series:
+    return _by_row(t_tail, t, dof)

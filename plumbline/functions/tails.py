@@ -10,6 +10,11 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from plumbline.session import ship
+
+ship(__name__)
 
 _TINY = 1e-300
 _ROUNDS = 100_000
@@ -97,16 +102,16 @@ def _by_row(rule, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if math.isnan(v) else v for v in values], dtype=object)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _by_row(chi2_tail, x, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _by_row(f_tail, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_sf(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _by_row(t_tail, t, dof)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +45,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(module: str) -> None:
+    """Send a module's Python functions to the executors by value, so that
+    nothing has to be installed there."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

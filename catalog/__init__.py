@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["profiling", "statistics"]
+GROUPS = ["profiling", "statistics", "shapes"]
 
 
 def _collect(kind: str) -> dict:

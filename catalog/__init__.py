@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["profiling", "statistics", "shapes"]
+GROUPS = ["profiling", "statistics", "shapes", "narration"]
 
 
 def _collect(kind: str) -> dict:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["profiling", "statistics", "shapes", "narration"]
+GROUPS = ["intake", "profiling", "statistics", "shapes", "narration", "layouts"]
 
 
 def _collect(kind: str) -> dict:

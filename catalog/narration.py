@@ -62,7 +62,7 @@ UNION ALL SELECT 'statistics', 'WARNING', 'class_imbalance', 'large', {r('max(n)
 
 def reduction_findings(spark, d):
     numbers = table(spark, d, "orders").select("o_custkey", F.lit(None).cast("double").alias("nothing"))
-    return N.reduction_findings(reduce.select_features(profile.column_profile(numbers)))
+    return N.reduction_findings(reduce.select_features(profile.light_profile(numbers)))
 
 
 # --- conversations: turns with numbers 1, 4, 7 ... left out, so that one role speaks twice in a row

@@ -246,7 +246,7 @@ ORACLES["constant_columns"] = "SELECT unnest(['o_orderstatus', 'one']) AS column
 
 
 def _scores(name):
-    return lambda spark, d: rounded(G.pick_target(G.score_targets(P.column_profile(table(spark, d, name).select(*TABLES[name])))), 2)
+    return lambda spark, d: rounded(G.pick_target(G.score_targets(P.light_profile(table(spark, d, name).select(*TABLES[name])))), 2)
 
 
 def _scores_sql(name):
@@ -267,10 +267,10 @@ for _t in ("lineitem", "orders", "part", "events"):
     QUERIES[f"pick_target_{_t}"] = _scores(_t)
     ORACLES[f"pick_target_{_t}"] = _scores_sql(_t)
 
-QUERIES["ml_task"] = lambda spark, d: P.column_profile(table(spark, d, "part")).select("column_name", G.ml_task().alias("ml_task"))
+QUERIES["ml_task"] = lambda spark, d: P.light_profile(table(spark, d, "part")).select("column_name", G.ml_task().alias("ml_task"))
 ORACLES["ml_task"] = f"""SELECT column_name, CASE WHEN inferred_type IN ('categorical', 'boolean') OR (inferred_type = 'numerical' AND u <= 50)
  THEN 'classification' WHEN inferred_type = 'numerical' THEN 'regression' END AS ml_task FROM ({_stats_sql('part')})"""
 
-QUERIES["validate_target"] = lambda spark, d: rounded(G.validate_target(P.column_profile(table(spark, d, "events").drop("props")), "value"))
+QUERIES["validate_target"] = lambda spark, d: rounded(G.validate_target(P.light_profile(table(spark, d, "events").drop("props")), "value"))
 ORACLES["validate_target"] = """SELECT 'value' AS column_name, CASE WHEN count(DISTINCT value) <= 50 THEN 'classification' ELSE 'regression' END AS ml_task,
  CAST(1.0 AS DOUBLE) AS confidence_score, CAST(1 AS BIGINT) AS rank, true AS is_identified, 'user_specified' AS detection_method FROM events"""

@@ -83,7 +83,7 @@ _F_SQL = _squares_sql("(SELECT hue, coalesce(price, (SELECT median(price) FROM "
 _VIOLIN_SOURCE = "(SELECT source, CAST(n_chars AS DOUBLE) AS n_chars FROM documents)"
 
 QUERIES = {
-    "select_features": lambda spark, d: rounded(reduce.select_features(profile.column_profile(
+    "select_features": lambda spark, d: rounded(reduce.select_features(profile.light_profile(
         table(spark, d, "lineitem").withColumn("always", F.lit(1.5))), "l_quantity").drop("ordinal")),
     "impute_median": lambda spark, d: rounded(reduce.impute(gappy_keyed(spark, d), ["size", "price"], "median", ["p_partkey"])),
     "impute_mean": lambda spark, d: rounded(reduce.impute(gappy_keyed(spark, d), ["size", "price"], "mean", ["p_partkey"])),
@@ -120,7 +120,7 @@ QUERIES = {
     "violin_summary": lambda spark, d: rounded(plotdata.violin_summary(table(spark, d, "documents"), "source", "n_chars")),
     "violin_density": lambda spark, d: _rounded_curve(plotdata.violin_density(table(spark, d, "events"), "event_type", "value")),
     "grouped_counts": lambda spark, d: rounded(plotdata.grouped_counts(table(spark, d, "part"), "p_size", "p_type")),
-    "plot_plan": lambda spark, d: plotdata.plot_plan(profile.column_profile(table(spark, d, "events")), "value", True),
+    "plot_plan": lambda spark, d: plotdata.plot_plan(profile.light_profile(table(spark, d, "events")), "value", True),
 }
 
 _STD = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"

@@ -1,11 +1,12 @@
 """Pairwise associations: Cramer's V, correlation ratio, Spearman's rho.
 
 All pairs of a kind come out of one job; nothing loops over pairs with a job
-each, except Spearman pairs that have their own pattern of missing cells.
+each.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
@@ -13,7 +14,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import col, families, known, numbers, quoted
+from plumbline.functions.columns import as_number, col, families, known, numbers, quoted
 from plumbline.functions.tails import chi2_sf, f_sf, t_sf
 from plumbline.operators.frequencies import melt
 from plumbline.operators.ordering import average_ranks
@@ -108,7 +109,7 @@ def grouped_moments(df: DataFrame, cats: list[str], nums: list[str]) -> DataFram
     aggregation before the shuffle.
     """
     kinds = families(df)
-    x = numbers_named(df, nums)
+    x = [as_number(c, kinds[c]).alias(f"x{j}") for j, c in enumerate(nums)]
     wide = df.select(*x, *[known(c, kinds[c]).cast("string").alias(f"c{i}") for i, c in enumerate(cats)])
     long = wide.unpivot([f"x{j}" for j in range(len(nums))], [f"c{i}" for i in range(len(cats))], "slot", "category")
     aggs = [e for j in range(len(nums)) for e in (F.count(f"x{j}").alias(f"n{j}"), F.avg(f"x{j}").alias(f"m{j}"), F.var_pop(f"x{j}").alias(f"v{j}"))]
@@ -119,12 +120,6 @@ def grouped_moments(df: DataFrame, cats: list[str], nums: list[str]) -> DataFram
     return grouped.select(column.alias("col_a"), "category", F.inline(cells)).where("n > 0")
 
 
-def numbers_named(df: DataFrame, nums: list[str]) -> list[Column]:
-    from plumbline.functions.columns import as_number
-    kinds = families(df)
-    return [as_number(c, kinds[c]).alias(f"x{j}") for j, c in enumerate(nums)]
-
-
 def _sums_of_squares(moments: DataFrame) -> DataFrame:
     """Between and within sums of squares per (col_a, col_b)."""
     pair = ["col_a", "col_b"]
@@ -204,6 +199,25 @@ def ranked_rows(wide: DataFrame, cols: list[str]) -> DataFrame:
     return out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(cols)])
 
 
+def _spearman_apart(wide: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
+    """(a, b, rho, n) of pairs ranked over their own complete rows; one job ranks all of them."""
+    if not pairs:
+        return []
+    sides = {}
+    for i, (a, b) in enumerate(pairs):
+        both = col(a).isNotNull() & col(b).isNotNull()
+        sides |= {f"{i}a": F.when(both, col(a)), f"{i}b": F.when(both, col(b))}
+    ranks = average_ranks(wide.select(*[e.alias(n) for n, e in sides.items()]), list(sides))
+    parts = []
+    for i, (a, b) in enumerate(pairs):
+        of = lambda side, i=i: ranks.where(F.col("column_name") == f"{i}{side}").select(F.col("value").alias(f"v{side}"), F.col("avg_rank").alias(f"r{side}"))
+        joined = (wide.select(col(a).alias("a"), col(b).alias("b")).dropna()
+                  .join(of("a"), F.col("a") == F.col("va")).join(of("b"), F.col("b") == F.col("vb")))
+        parts.append(joined.agg(F.lit(i).alias("i"), F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n")))
+    found = {r["i"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
+    return [(a, b, _number(found[i]["rho"]) if found[i]["n"] >= 2 else None, found[i]["n"]) for i, (a, b) in enumerate(pairs)]
+
+
 def spearman(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """(col_a, col_b, value, p_value, n) over the complete rows of each pair.
 
@@ -220,12 +234,7 @@ def spearman(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]] | None
         together = list(dict.fromkeys(c for p in shared for c in p))
         rho = pearson(ranked_rows(wide, together), together) if counts["rows"] >= 2 else {}
         rows += [(a, b, rho.get((a, b), rho.get((b, a))), counts["rows"]) for a, b in shared]
-    for a, b in pairs:
-        if (a, b) not in shared:
-            both = wide.select(col(a), col(b)).dropna()
-            n = both.count()
-            rho = pearson(ranked_rows(both, [a, b]), [a, b])[(a, b)] if n >= 2 else None
-            rows.append((a, b, rho, n))
+    rows += _spearman_apart(wide, [p for p in pairs if p not in shared])
     found = df.sparkSession.createDataFrame(rows, "col_a string, col_b string, rho double, n bigint")
     rho, dof = F.col("rho"), F.col("n") - 2
     t = F.when(F.abs(rho) < 1, rho * F.sqrt(dof / ((1 - rho) * (1 + rho)))).when(rho.isNotNull(), F.lit(float("inf")))

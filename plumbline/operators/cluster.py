@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -26,8 +28,12 @@ def kmeans_clusters(df: DataFrame, cols: list[str], keys: list[str], settings: S
     k = max(1, min(settings.clusters, vectors.select(F.lit(1)).limit(settings.clusters).count()))
     if k < 2:
         return vectors.select(*[col(c) for c in keys], F.lit(0).alias("cluster"))
-    runs = [KMeans(k=k, seed=settings.sample_seed + i, maxIter=100, featuresCol="_v", predictionCol="_run").fit(vectors)
-            for i in range(settings.cluster_restarts)]
+    def run(i: int):
+        return KMeans(k=k, seed=settings.sample_seed + i, maxIter=100, featuresCol="_v", predictionCol="_run").fit(vectors)
+
+    # The restarts are independent: their jobs share the cluster.
+    with ThreadPoolExecutor(settings.cluster_restarts) as pool:
+        runs = list(pool.map(run, range(settings.cluster_restarts)))
     best = min(runs, key=lambda model: model.summary.trainingCost)
     order = sorted(range(k), key=lambda i: [round(float(x), 9) for x in best.clusterCenters()[i]])
     label = F.element_at(F.array(*[F.lit(order.index(i)) for i in range(k)]), F.col("_run") + 1)

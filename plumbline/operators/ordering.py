@@ -89,31 +89,33 @@ def _select_ranks(wide: DataFrame, brackets, ranks: dict[str, list[int]]) -> dic
     return found
 
 
-def quantile_values(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+def quantile_values(df: DataFrame, cols: list[str], probs: list[float],
+                    distinct: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation) of many columns, on the driver.
 
     One scan sketches every column. Columns with few distinct values finish
     with percentile(), whose state is one entry per distinct value. For the
     others the sketch brackets each wanted rank within rows/accuracy and a
     second scan orders only the values inside the brackets. Should a rank fall
-    outside its bracket, the column is ordered as a whole.
+    outside its bracket, the column is ordered as a whole. `distinct` passes on
+    distinct counts that are known already.
     """
     kinds = families(df)
     wide = df.select(*[as_number(c, kinds[c]).alias(c) for c in cols])
     slack = 4 / SKETCH_ACCURACY
     points = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)})
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(col(c)).alias(f"n{i}"), F.approx_count_distinct(col(c), 0.05).alias(f"d{i}"),
-                 F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias(f"q{i}")]
-    sketch = wide.agg(*aggs).first()
-    result: dict[str, list[float | None]] = {}
-    few, many = [], []
-    for i, c in enumerate(cols):
-        if not sketch[f"n{i}"]:
-            result[c] = [None] * len(probs)
-        else:
-            (few if sketch[f"d{i}"] <= FEW_VALUES else many).append(c)
+    distinct = distinct or {}
+    few = [c for c in cols if 0 < distinct.get(c, FEW_VALUES + 1) <= FEW_VALUES]
+    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    sketched = [c for c in cols if c not in few and distinct.get(c) != 0]
+    many, sketch = [], {}
+    if sketched:
+        sketch = wide.agg(*[e for i, c in enumerate(sketched) for e in (
+            F.count(col(c)).alias(f"n{i}"), F.approx_count_distinct(col(c), 0.05).alias(f"d{i}"),
+            F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias(f"q{i}"))]).first()
+        for i, c in enumerate(sketched):
+            if sketch[f"n{i}"]:
+                (few if sketch[f"d{i}"] <= FEW_VALUES else many).append(c)
     if few:
         row = wide.agg(*[F.percentile(col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"p{i}")
                          for i, c in enumerate(few)]).first()
@@ -121,7 +123,7 @@ def quantile_values(df: DataFrame, cols: list[str], probs: list[float]) -> dict[
     if many:
         at, brackets, ranks = {}, {}, {}
         for c in many:
-            i = cols.index(c)
+            i = sketched.index(c)
             n = sketch[f"n{i}"]
             value_at = dict(zip(points, sketch[f"q{i}"]))
             brackets[c] = _merge([(value_at[max(0.0, p - slack)], value_at[min(1.0, p + slack)]) for p in probs])

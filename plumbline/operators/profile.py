@@ -163,6 +163,15 @@ def infer_types(df: DataFrame, settings: Settings = DEFAULTS, approximate: bool
     return typed_stats(df, settings, approximate).select("column_name", "ordinal", "dtype", "inferred_type")
 
 
+def light_profile(df: DataFrame, settings: Settings = DEFAULTS, approximate: bool = False) -> DataFrame:
+    """The part of `column_profile` that targets and chart choices go by, as one lazy plan."""
+    rows = F.nullif(F.col("row_count"), F.lit(0))
+    missing, unique = F.col("row_count") - F.col("present_count"), F.coalesce("unique_count", F.lit(0))
+    return typed_stats(df, settings, approximate).select(
+        "column_name", "ordinal", "dtype", "inferred_type", "row_count", missing.alias("missing_count"), (missing / rows).alias("missing_pct"),
+        unique.alias("unique_count"), (unique / rows).alias("unique_pct"), F.when(F.col("inferred_type") == "numerical", F.col("skewness")).alias("skewness"))
+
+
 def category_summary(df: DataFrame, cols: list[str], top: int = 5) -> DataFrame:
     """(column_name, top, frequency, top_values): the most frequent values.
 
@@ -195,8 +204,8 @@ def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
         "column_name", "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
-def _quartiles(df: DataFrame, cols: list[str]) -> DataFrame:
-    values = quantile_values(df, cols, [0.25, 0.5, 0.75]) if cols else {}
+def _quartiles(df: DataFrame, cols: list[str], distinct: dict[str, int] | None = None) -> DataFrame:
+    values = quantile_values(df, cols, [0.25, 0.5, 0.75], distinct) if cols else {}
     return df.sparkSession.createDataFrame(
         [(c, *values[c]) for c in cols], "column_name string, q25 double, median double, q75 double")
 
@@ -234,7 +243,8 @@ def column_profile(df: DataFrame, settings: Settings = DEFAULTS, approximate: bo
     else:
         profile = profile.selectExpr("*", "CAST(NULL AS STRING) AS top", "CAST(NULL AS BIGINT) AS frequency",
                                      "CAST(NULL AS ARRAY<STRUCT<value:STRING,count:BIGINT>>) AS top_values")
-    profile = profile.join(F.broadcast(_quartiles(df, measures)), "column_name", "left")   # one row per column
+    distinct = {r["column_name"]: r["unique_count"] for r in typed}
+    profile = profile.join(F.broadcast(_quartiles(df, measures, distinct)), "column_name", "left")   # one row per column
     numeric, dated = F.col("inferred_type") == "numerical", F.col("inferred_type") == "datetime"
     rows = F.nullif(F.col("row_count"), F.lit(0))
     total = sum(r["bytes"] for r in typed)

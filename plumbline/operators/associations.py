@@ -163,11 +163,16 @@ def correlation_ratio(df: DataFrame, cats: list[str], nums: list[str]) -> DataFr
 
 # --- numbers against numbers -------------------------------------------------------
 
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson correlation; NULL for a constant side, where corr() itself raises under ANSI rules."""
+    return F.covar_pop(a, b) / F.nullif(F.sqrt(F.var_pop(a) * F.var_pop(b)), F.lit(0.0))
+
+
 def pearson(wide: DataFrame, cols: list[str]) -> dict[tuple[str, str], float | None]:
     """Correlations of all pairs over rows without missing cells, on the driver (columns x columns)."""
     pairs = list(combinations(cols, 2))
     if len(cols) <= FEW_COLUMNS:
-        row = wide.agg(*[F.corr(col(a), col(b)).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
+        row = wide.agg(*[_corr(col(a), col(b)).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
         return {p: _number(row[str(i)]) for i, p in enumerate(pairs)}
     # Centre first: the Gram matrix would lose digits on large means.
     means = wide.agg(*[F.avg(col(c)).alias(str(i)) for i, c in enumerate(cols)]).first()
@@ -213,7 +218,7 @@ def _spearman_apart(wide: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple
         of = lambda side, i=i: ranks.where(F.col("column_name") == f"{i}{side}").select(F.col("value").alias(f"v{side}"), F.col("avg_rank").alias(f"r{side}"))
         joined = (wide.select(col(a).alias("a"), col(b).alias("b")).dropna()
                   .join(of("a"), F.col("a") == F.col("va")).join(of("b"), F.col("b") == F.col("vb")))
-        parts.append(joined.agg(F.lit(i).alias("i"), F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n")))
+        parts.append(joined.agg(F.lit(i).alias("i"), _corr(F.col("ra"), F.col("rb")).alias("rho"), F.count(F.lit(1)).alias("n")))
     found = {r["i"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
     return [(a, b, _number(found[i]["rho"]) if found[i]["n"] >= 2 else None, found[i]["n"]) for i, (a, b) in enumerate(pairs)]
 

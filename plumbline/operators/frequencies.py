@@ -57,6 +57,8 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     Numbers keep their native key; long texts are shuffled as a 256-bit digest,
     so a text column costs 32 bytes a row and not its whole length.
     """
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, unique_count bigint")
     kinds = families(df)
     # A column number is a narrower shuffle key than a name.
     staged, groups = [], []

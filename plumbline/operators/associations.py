@@ -27,17 +27,19 @@ FEW_COLUMNS = 4     # up to here plain corr() beats assembling vectors
 def column_pairs(types: DataFrame) -> DataFrame:
     """(kind, col_a, col_b) from (column_name, ordinal, inferred_type).
 
-    A join of the table of columns with itself; booleans count as categories.
+    The columns are gathered into one array, which every column is then
+    matched against; booleans count as categories.
     """
     role = (F.when(F.col("inferred_type").isin("categorical", "boolean"), "c")
             .when(F.col("inferred_type") == "numerical", "n"))
-    side = types.select("column_name", "ordinal", role.alias("role")).where("role is not null")
-    a = side.select(F.col("column_name").alias("col_a"), F.col("ordinal").alias("at_a"), F.col("role").alias("role_a"))
-    b = side.select(F.col("column_name").alias("col_b"), F.col("ordinal").alias("at_b"), F.col("role").alias("role_b"))
-    both = F.concat("role_a", "role_b")
-    return (a.join(b, ((F.col("role_a") == F.col("role_b")) & (F.col("at_a") < F.col("at_b")))
-                   | ((F.col("role_a") == "c") & (F.col("role_b") == "n")))
-            .select(F.when(both == "cn", CAT_NUM).when(both == "cc", CAT_CAT).otherwise(NUM_NUM).alias("kind"), "col_a", "col_b"))
+    usable = types.where(role.isNotNull()).agg(F.collect_list(F.struct("ordinal", "column_name", role.alias("role"))).alias("every"))
+    first = usable.select("every", F.explode("every").alias("a"))
+    fits = lambda b: (((F.col("a.role") == b["role"]) & (F.col("a.ordinal") < b["ordinal"]))
+                      | ((F.col("a.role") == "c") & (b["role"] == "n")))
+    pairs = first.select("a", F.explode(F.filter("every", fits)).alias("b"))
+    both = F.concat("a.role", "b.role")
+    return pairs.select(F.when(both == "cn", CAT_NUM).when(both == "cc", CAT_CAT).otherwise(NUM_NUM).alias("kind"),
+                        F.col("a.column_name").alias("col_a"), F.col("b.column_name").alias("col_b"))
 
 
 # --- categories against categories -------------------------------------------------
@@ -323,8 +325,7 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     kinds = families(df)
     counts = (df.select(known(target, kinds[target]).cast("string").alias("class")).where("class is not null")
               .groupBy("class").agg(F.count("*").alias("class_count")))
-    overall = counts.agg(F.sum("class_count").alias("total"), F.max("class_count").alias("most"),
-                         F.min("class_count").alias("fewest"), F.count("*").alias("classes"))
-    ratio = F.when(F.col("classes") > 1, F.col("most") / F.col("fewest"))
-    return counts.join(F.broadcast(overall)).select(     # one row
-        "class", "class_count", (F.col("class_count") / F.col("total")).alias("class_pct"), ratio.alias("max_min_ratio"))
+    total, most, fewest = (counts.agg(f("class_count")).scalar() for f in (F.sum, F.max, F.min))
+    classes = counts.agg(F.count(F.lit(1))).scalar()
+    return counts.select("class", "class_count", (F.col("class_count") / total).alias("class_pct"),
+                         F.when(classes > 1, most / fewest).alias("max_min_ratio"))

@@ -58,10 +58,9 @@ def column_findings(profile: DataFrame, settings: Settings = DEFAULTS) -> DataFr
 
 def target_findings(candidates: DataFrame) -> DataFrame:
     """Candidates without a task that ranked ahead of the identified one."""
-    best = candidates.where("is_identified").select(F.col("rank").alias("best_rank"))
+    best = candidates.where("is_identified").agg(F.min("rank")).scalar()
     name = F.col("column_name")
-    ahead = candidates.join(F.broadcast(best), F.col("rank") < F.col("best_rank"), "left_semi")        # one row
-    return _rows(ahead, "target", "candidate_without_task", F.col("ml_task").isNull(), name, F.col("confidence_score"), None,
+    return _rows(candidates.where(F.col("rank") < best), "target", "candidate_without_task", F.col("ml_task").isNull(), name, F.col("confidence_score"), None,
                  F.concat(F.lit("Column '"), name, F.lit("' was passed over as a target: no task fits it.")))
 
 

@@ -17,7 +17,7 @@ from plumbline.functions.columns import col
 from plumbline.operators.neighbours import knn_graph
 from plumbline.operators.ordering import running_counts
 from plumbline.operators.reduce import pca_embedding
-from plumbline.session import cut, ship
+from plumbline.session import Rewritten, cut, ship
 from plumbline.settings import DEFAULTS, Settings
 
 ship(__name__)
@@ -204,15 +204,15 @@ def tsne(ready: DataFrame, cols: list[str], key: str, settings: Settings = DEFAU
     edges = cut(tsne_affinities(graph, perplexity), "edges")
     start = pca_embedding(ready, cols, [key], ("x", "y"))
     spread = start.agg(F.stddev_pop("x")).first()[0] or 1.0
-    positions = cut(start.select(col(key).alias("id"), *[(F.col(c) / spread * 1e-4).alias(c) for c in "xy"],
+    positions = Rewritten(start.select(col(key).alias("id"), *[(F.col(c) / spread * 1e-4).alias(c) for c in "xy"],
                                  *[F.lit(0.0).alias(c) for c in ("vx", "vy")], *[F.lit(1.0).alias(c) for c in ("gx", "gy")]), "positions")
     rounds = settings.tsne_iterations if iterations is None else iterations
     early = min(250, rounds // 4)
     rate = max(rows / EXAGGERATION / 4, 50.0)
     for i in range(rounds):
         first = i < early
-        positions = cut(_descend(edges, positions, rows, EXAGGERATION if first else 1.0, 0.5 if first else 0.8, rate), "positions")
-    return positions.select(F.col("id").alias(key), F.col("x").alias("tsne1"), F.col("y").alias("tsne2"))
+        positions.write(_descend(edges, positions.df, rows, EXAGGERATION if first else 1.0, 0.5 if first else 0.8, rate))
+    return positions.df.select(F.col("id").alias(key), F.col("x").alias("tsne1"), F.col("y").alias("tsne2"))
 
 
 # --- UMAP ----------------------------------------------------------------------------
@@ -270,8 +270,8 @@ def umap(ready: DataFrame, cols: list[str], key: str, settings: Settings = DEFAU
     reach = start.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 1.0
     scaled = start.select(col(key).alias("id"), F.lit(1).alias("n"), *[(F.col(c) * 10 / reach).alias(c) for c in "xy"], F.lit(0).alias("all"))
     placed = running_counts(scaled, ["all"], ["id"]).select("id", F.col("before").alias("place"), "x", "y")
-    positions = cut(placed, "positions")
+    positions = Rewritten(placed, "positions")
     for turn in range(rounds):
         alpha = 0.25 * (1 - turn / rounds)
-        positions = cut(_attract_repel(edges, positions, rows, turn, alpha, a, b, settings.sample_seed), "positions")
-    return positions.select(F.col("id").alias(key), F.col("x").alias("umap1"), F.col("y").alias("umap2"))
+        positions.write(_attract_repel(edges, positions.df, rows, turn, alpha, a, b, settings.sample_seed))
+    return positions.df.select(F.col("id").alias(key), F.col("x").alias("umap1"), F.col("y").alias("umap2"))

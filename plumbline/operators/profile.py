@@ -114,13 +114,12 @@ def unique_values(df: DataFrame, cols: list[str] | None = None, approximate: boo
     """
     cols = cols or df.columns
     kinds = families(df)
-    rows = df.agg(F.count(F.lit(1)).alias("row_count"))
     if approximate:
         entries = [F.struct(F.lit(c).alias("column_name"), _sketched(known(c, kinds[c]), kinds[c]).alias("unique_count"))
                    for c in cols]
         counts = df.agg(F.array(*entries).alias("e"), F.count(F.lit(1)).alias("row_count")).select("row_count", F.inline("e"))
     else:
-        counts = distinct_counts(df, cols).join(F.broadcast(rows))   # one row
+        counts = distinct_counts(df, cols).withColumn("row_count", df.agg(F.count(F.lit(1))).scalar())
     return counts.select("column_name", "unique_count",
                          F.when(F.col("row_count") > 0, F.col("unique_count") / F.col("row_count")).alias("unique_pct"))
 
@@ -274,12 +273,12 @@ def dataset_stats(df: DataFrame, original_rows: int | None = None) -> DataFrame:
     """One row of dataset-level statistics."""
     kinds = families(df)
     width = sum((footprint(f.name, kinds[f.name], f.dataType) for f in df.schema.fields), F.lit(0))
-    size = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
+    size = df.agg(F.coalesce(F.sum(width), F.lit(0))).scalar()
     columns = len(df.columns)
     original = F.lit(original_rows).cast("bigint") if original_rows is not None else F.col("row_count")
-    return duplicate_rows(df).join(F.broadcast(size)).select(     # one row each
+    return duplicate_rows(df).select(
         original.alias("original_row_count"), F.col("row_count").alias("analyzed_row_count"),
         F.lit(columns).cast("bigint").alias("column_count"),
-        (F.col("bytes") / MB).alias("size_mb"),
+        (size / MB).alias("size_mb"),
         F.col("duplicate_rows").alias("duplicate_rows_count"),
         (F.lit(columns) / F.nullif(original, F.lit(0))).alias("column_pct"), "duplicates_pct")

@@ -47,6 +47,28 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rewritten:
+    """A table that is written anew every round of an iteration.
+
+    Only the newest version is kept in the scratch folder: it is complete
+    before the one it was made from is deleted.
+    """
+
+    def __init__(self, df: DataFrame, label: str):
+        self.label, self.path, self.df = label, None, df
+        self.write(df)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        spark, old = df.sparkSession, self.path
+        self.path = scratch_path(spark, self.label)
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+        if old is not None:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return self.df
+
+
 def ship(module: str) -> None:
     """Send a module's Python functions to the executors by value, so that
     nothing has to be installed there."""

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from catalog.profiling import GAPPY_SQL, gappy
+from catalog.profiling import GAPPY_SQL, _stats_sql, gappy
 from catalog.shared import rounded, sql_round as r, table, union_all
 from catalog.statistics import _squares_sql
 from plumbline.operators import cluster, features, plotdata, profile, reduce
@@ -126,8 +126,8 @@ QUERIES = {
 _STD = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
 
 ORACLES = {
-    "select_features": """SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey']) AS column_name, false AS is_constant
- UNION ALL SELECT 'l_extendedprice', false FROM lineitem HAVING count(DISTINCT l_extendedprice) / count(*) <= 0.99""",
+    "select_features": f"""SELECT column_name, u + CAST(k < n AS INTEGER) <= 1 AS is_constant FROM ({_stats_sql('lineitem')})
+ WHERE inferred_type = 'numerical' AND column_name <> 'l_quantity'""",
     "impute_median": f"SELECT p_partkey, {r(f'coalesce(size, (SELECT median(size) FROM {GAPPY_PART}))')} AS size, {r(f'coalesce(price, (SELECT median(price) FROM {GAPPY_PART}))')} AS price FROM {GAPPY_PART}",
     "impute_mean": f"SELECT p_partkey, {r(f'coalesce(size, (SELECT avg(size) FROM {GAPPY_PART}))')} AS size, {r(f'coalesce(price, (SELECT avg(price) FROM {GAPPY_PART}))')} AS price FROM {GAPPY_PART}",
     "standardise": f"SELECT p_brand, {r(_STD('p_size'))} AS p_size, {r(_STD('p_retailprice'))} AS p_retailprice FROM part",
@@ -160,6 +160,7 @@ FROM q JOIN documents USING (source) GROUP BY source""",
     "violin_density": _kde_sql([(t, f"(SELECT value FROM events WHERE event_type = '{t}')", "value") for t in ("click", "error", "purchase", "signup", "view")], 100, 2, "category"),
     "grouped_counts": """WITH t AS (SELECT p_size AS v, count(*) AS total, row_number() OVER (ORDER BY count(*) DESC, CAST(p_size AS VARCHAR)) AS place FROM part GROUP BY p_size QUALIFY place <= 15)
 SELECT CAST(p_size AS VARCHAR) AS value, p_type AS hue, count(*) AS count, any_value(total) AS value_total, any_value(place) AS place FROM part JOIN t ON v = p_size GROUP BY p_size, p_type""",
-    "plot_plan": """SELECT column_name, univariate, bivariate FROM (VALUES ('user_id', 'histogram', 'regression_line'), ('event_type', 'count_bars', 'violin'), ('value', 'histogram', NULL))
- v(column_name, univariate, bivariate)""",
+    "plot_plan": f"""SELECT column_name, CASE WHEN inferred_type = 'numerical' THEN 'histogram' ELSE 'count_bars' END AS univariate,
+ CASE WHEN column_name = 'value' THEN NULL WHEN inferred_type = 'numerical' THEN 'regression_line' ELSE 'violin' END AS bivariate
+ FROM ({_stats_sql('events')}) WHERE inferred_type IN ('numerical', 'categorical', 'boolean')""",
 }

@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from catalog.profiling import GAPPY_SQL, gappy
+from catalog.profiling import GAPPY_SQL, _stats_sql, gappy
 from catalog.shared import rounded, sql_round as r, table, union_all
 from plumbline.functions.tails import chi2_sf, f_sf, t_sf
 from plumbline.operators import associations as A
@@ -216,11 +216,10 @@ ORACLES = {
     "correlation_ratio_missing": f"SELECT col_a, col_b, {r('value')} AS value, n FROM ({_eta_sql(GAPPY_SQL, GAP_CATS, GAPPY_NUMS)})",
     "correlation_ratio_documents": f"SELECT col_a, col_b, {r('value')} AS value, n FROM ({_eta_sql('documents', ['lang', 'source'], ['n_chars'])})",
     "anova_f": _squares_sql(GAPPY_SQL, GAP_CATS, GAPPY_NUMS, 2) + f" SELECT col_a, col_b, {r('(ssb / (g - 1)) / (ssw / (n - g))')} AS f, g - 1 AS d1, n - g AS d2 FROM s",
-    "column_pairs": """WITH t(c, o, k) AS (VALUES ('l_orderkey', 0, 'n'), ('l_partkey', 1, 'n'), ('l_suppkey', 2, 'n'), ('l_linenumber', 3, 'c'), ('l_quantity', 4, 'n'),
- ('l_extendedprice', 5, CASE WHEN (SELECT count(DISTINCT l_extendedprice) / count(*) FROM lineitem) > 0.99 THEN 'x' ELSE 'n' END),
- ('l_discount', 6, 'c'), ('l_tax', 7, 'c'), ('l_returnflag', 8, 'c'), ('l_linestatus', 9, 'c'))
+    "column_pairs": f"""WITH t AS (SELECT column_name AS c, ordinal AS o, CASE WHEN inferred_type IN ('categorical', 'boolean') THEN 'c' WHEN inferred_type = 'numerical' THEN 'n' END AS k
+ FROM ({_stats_sql('lineitem')}))
 SELECT CASE WHEN a.k <> b.k THEN 'categorical_numerical' WHEN a.k = 'c' THEN 'categorical_categorical' ELSE 'numerical_numerical' END AS kind,
- a.c AS col_a, b.c AS col_b FROM t a JOIN t b ON (a.k = b.k AND a.o < b.o AND a.k <> 'x') OR (a.k = 'c' AND b.k = 'n')""",
+ a.c AS col_a, b.c AS col_b FROM t a JOIN t b ON (a.k = b.k AND a.o < b.o) OR (a.k = 'c' AND b.k = 'n')""",
     "associations": f"SELECT kind, col_a, col_b, {r('value')} AS value, n FROM ({_wide_sql()})",
     "association_matrix": _both_ways("numerical_numerical") + f""" SELECT column_name, {r("max(value) FILTER (other = 'doubled')")} AS doubled,
  {r("max(value) FILTER (other = 'user_id')")} AS user_id, {r("max(value) FILTER (other = 'value')")} AS value FROM b GROUP BY column_name""",

@@ -113,19 +113,22 @@ def _edge_ends(edges: DataFrame, positions: DataFrame) -> DataFrame:
 
 # --- t-SNE ---------------------------------------------------------------------------
 
-def _node_weights(t):
-    """Quadratic interpolation weights on nodes at 1/6, 1/2 and 5/6 of an interval."""
+# Quadratic interpolation weights on nodes at 1/6, 1/2 and 5/6 of an interval.
+NODE_WEIGHTS = ["({t} - 1D / 2) * ({t} - 5D / 6) * 4.5D", "({t} - 1D / 6) * ({t} - 5D / 6) * -9D", "({t} - 1D / 6) * ({t} - 1D / 2) * 4.5D"]
+
+
+def _node_weights(t: np.ndarray):
     return (t - 1 / 2) * (t - 5 / 6) * 4.5, (t - 1 / 6) * (t - 5 / 6) * -9.0, (t - 1 / 6) * (t - 1 / 2) * 4.5
 
 
 def _charges(positions: DataFrame, width: float) -> pd.DataFrame:
     """Point mass and moments gathered on the nodes of a regular grid, occupied nodes only."""
-    ux, uy = F.col("x") / width, F.col("y") / width
-    wx, wy = _node_weights(ux - F.floor(ux)), _node_weights(uy - F.floor(uy))
-    nodes = F.array(*[F.struct((F.floor(ux) * 3 + i).alias("i"), (F.floor(uy) * 3 + j).alias("j"), (wx[i] * wy[j]).alias("c"))
-                      for i in range(3) for j in range(3)])
-    spread = positions.select("x", "y", F.explode(nodes).alias("node")).select("x", "y", "node.*")
-    sums = spread.groupBy("i", "j").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("x")).alias("cx"), F.sum(F.col("c") * F.col("y")).alias("cy"))
+    axis = lambda c: {f"i{c}": f"floor({c} / {width})", f"t{c}": f"{c} / {width} - floor({c} / {width})"}
+    placed = positions.selectExpr("x", "y", *[f"{e} AS {n}" for c in "xy" for n, e in axis(c).items()])
+    nodes = ", ".join(f"struct(ix * 3 + {i} AS i, iy * 3 + {j} AS j, ({NODE_WEIGHTS[i].format(t='tx')}) * ({NODE_WEIGHTS[j].format(t='ty')}) AS c)"
+                      for i in range(3) for j in range(3))
+    sums = placed.selectExpr("x", "y", f"inline(array({nodes}))").groupBy("i", "j").agg(
+        F.expr("sum(c) AS c"), F.expr("sum(c * x) AS cx"), F.expr("sum(c * y) AS cy"))
     return sums.toPandas()           # bounded by the grid; see below
 
 

@@ -67,7 +67,8 @@ if __name__ == "__main__":
     spark, con, sqls = session(), connection(), entry.oracle_sql()
     bad = 0
     for name, query in entry.queries().items():
-        if sys.argv[1:] and not any(part in name for part in sys.argv[1:]):
+        wanted = [a for a in sys.argv[1:] if not a.startswith("-")]
+        if any(a[1:] in name for a in sys.argv[1:] if a.startswith("-")) or wanted and not any(part in name for part in wanted):
             continue
         start = time.time()
         try:

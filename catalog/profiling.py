@@ -177,6 +177,13 @@ ORACLES["value_frequencies"] = union_all([
 
 QUERIES["infer_types"] = lambda spark, d: P.infer_types(_dates_as_text(spark, d)).select("column_name", F.col("ordinal").cast("bigint").alias("ordinal"), "inferred_type")
 
+_TEXT_KINDS = {"iso": "datetime", "compact": "datetime", "year": "datetime", "slashed": "datetime", "mixed": "datetime", "partly": "", "priority": "", "digits": "number"}
+ORACLES["infer_types"] = union_all([
+    f"SELECT '{c}' AS column_name, CAST({at} AS BIGINT) AS ordinal, CASE WHEN count(DISTINCT {c}) / count(*) > 0.99 THEN 'id' ELSE "
+    + ("'datetime'" if kind == "datetime" else f"CASE WHEN count(DISTINCT {c}) <= 20 THEN 'categorical' ELSE '{'numerical' if kind else 'text'}' END")
+    + f" END AS inferred_type FROM {DATES_SQL}" for at, (c, kind) in enumerate(_TEXT_KINDS.items())] + [
+    "SELECT 'amount', 8, CASE WHEN count(DISTINCT round(o_totalprice)) / count(*) > 0.99 THEN 'id' ELSE 'numerical' END FROM orders"])
+
 QUERIES["date_number_probe"] = _probe
 ORACLES["date_number_probe"] = _probe_sql()
 

@@ -182,6 +182,12 @@ QUERIES = {
     "multicollinearity": lambda spark, d: multicollinearity(
         table(spark, d, "lineitem").withColumn("cost", F.col("l_extendedprice") * (1 + F.col("l_tax"))),
         ["l_quantity", "l_extendedprice", "l_partkey", "l_discount", "l_tax", "cost"]).select("column_name"),
+    "cramers_v_p_value_two_degrees": lambda spark, d: rounded(A.cramers_v(table(spark, d, "lineitem"), [("l_returnflag", "l_linestatus")])),
+    "anova_p_value_three_groups": lambda spark, d: rounded(A.anova_f(table(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount"]).drop("f")),
+    "tails_with_closed_forms": lambda spark, d: rounded(
+        table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 20000).alias("x"), (5 + F.col("o_custkey") % 200).cast("double").alias("d"))
+        .select("o_orderkey", chi2_sf(F.col("x"), F.lit(2.0)).alias("chi2_2"), chi2_sf(F.col("x"), F.lit(6.0)).alias("chi2_6"),
+                f_sf(F.col("x"), F.lit(2.0), F.col("d")).alias("f_2"), t_sf(F.col("x"), F.lit(2.0)).alias("t_2")), 9),
     "tail_probabilities": lambda spark, d: (
         table(spark, d, "orders").select((F.col("o_totalprice") / 20000).alias("x"), (1 + F.col("o_custkey") % 9).cast("double").alias("k"), "o_orderkey")
         .select("o_orderkey", chi2_sf("x", "k").alias("chi2"), f_sf(F.col("x"), F.col("k"), F.lit(20.0)).alias("f"), t_sf("x", "k").alias("t"))),
@@ -234,6 +240,13 @@ SELECT CASE WHEN a.k <> b.k THEN 'categorical_numerical' WHEN a.k = 'c' THEN 'ca
  WHERE (col_a = 'value' OR col_b = 'value') AND CASE kind WHEN 'categorical_numerical' THEN value > 0.98 WHEN 'numerical_numerical' THEN abs(value) > 0.98 ELSE false END""",
     "top_correlated_features": f"""SELECT CASE WHEN col_a = 'value' THEN col_b ELSE col_a END AS column_name, {r('abs(value)')} AS strength FROM ({_wide_sql()})
  WHERE col_a = 'value' OR col_b = 'value' ORDER BY 2 DESC, 1 LIMIT 3""",
+    "cramers_v_p_value_two_degrees": _chi2_sql("lineitem", [("l_returnflag", "l_linestatus")]) + f""" SELECT col_a, col_b,
+ {r('sqrt(chi2 / (n * (smaller_side - 1)))')} AS value, {r('exp(-chi2 / 2)')} AS p_value, CAST(n AS BIGINT) AS n FROM x""",
+    "anova_p_value_three_groups": _squares_sql("lineitem", ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount"], 2) + f"""
+ SELECT col_a, col_b, {r('power(1 + 2 * ((ssb / 2) / (ssw / (n - 3))) / (n - 3), -(n - 3) / 2)')} AS p_value, CAST(2 AS BIGINT) AS d1, n - 3 AS d2 FROM s""",
+    "tails_with_closed_forms": f"""WITH o AS (SELECT o_orderkey, o_totalprice / 20000 AS x, CAST(5 + o_custkey % 200 AS DOUBLE) AS d FROM orders)
+SELECT o_orderkey, {r('exp(-x / 2)', 9)} AS chi2_2, {r('exp(-x / 2) * (1 + x / 2 + x * x / 8)', 9)} AS chi2_6,
+ {r('power(1 + 2 * x / d, -d / 2)', 9)} AS f_2, {r('1 - x / sqrt(2 + x * x)', 9)} AS t_2 FROM o""",
     "class_balance": f"""WITH c AS (SELECT event_type AS class, count(*) AS class_count FROM events GROUP BY 1)
 SELECT class, class_count, {r('class_count / sum(class_count) OVER ()')} AS class_pct, {r('max(class_count) OVER () / min(class_count) OVER ()')} AS max_min_ratio FROM c""",
     "class_balance_labels": f"""WITH c AS (SELECT CAST(toxic AS VARCHAR) AS class, count(*) AS class_count FROM labels GROUP BY 1)

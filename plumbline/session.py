@@ -73,3 +73,6 @@ def ship(module: str) -> None:
     """Send a module's Python functions to the executors by value, so that
     nothing has to be installed there."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship(__name__)

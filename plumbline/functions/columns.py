@@ -22,14 +22,15 @@ DATE_LAYOUTS = [
 # Fixed value: the spellings read as a number, apart from surrounding blanks.
 NUMBER_SHAPE = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)$"
 
-_DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+_DATES = (T.DateType, T.TimestampNTZType)
+DATED = ("date", "instant")
 _INTERVALS = (T.DayTimeIntervalType, T.YearMonthIntervalType)
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTION = (T.FloatType, T.DoubleType)
 
 
 def family(dtype: T.DataType) -> str:
-    """boolean, whole, fraction, decimal, date, interval, text or nested."""
+    """boolean, whole, fraction, decimal, date (no zone), instant, interval, text or nested."""
     if isinstance(dtype, T.BooleanType):
         return "boolean"
     if isinstance(dtype, _WHOLE):
@@ -40,6 +41,8 @@ def family(dtype: T.DataType) -> str:
         return "decimal"
     if isinstance(dtype, _DATES):
         return "date"
+    if isinstance(dtype, T.TimestampType):
+        return "instant"
     if isinstance(dtype, _INTERVALS):
         return "interval"
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
@@ -79,12 +82,22 @@ def as_number(name: str, kind: str) -> Column:
         return c.cast("double")
     if kind == "fraction":
         return known(name, kind).cast("double")
-    if kind == "date":
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if kind in DATED:
+        return micros(c, kind).cast("double")
     number = parsed_number(c)
     return F.when(~F.isnan(number), number)
 
 
+def micros(c: Column, kind: str) -> Column:
+    """Microseconds since 1970, of the instant or of the wall clock; no time zone comes into the latter."""
+    if kind == "instant":
+        return F.unix_micros(c)
+    c = c.cast("timestamp_ntz")
+    seconds = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    return (F.unix_date(c.cast("date")).cast("bigint") * 86_400_000_000 + F.hour(c).cast("bigint") * 3_600_000_000
+            + F.minute(c).cast("bigint") * 60_000_000 + seconds)
+
+
 def numbers(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
     """Only the wanted columns, as doubles; `keep` columns pass unchanged."""
     kinds = families(df)
@@ -105,10 +118,10 @@ def parsed_date(c: Column) -> Column:
     """Timestamp for text in one of the known layouts, else NULL."""
     def step(rest, layout):
         shape, pattern = layout
-        value = c.try_cast("timestamp") if pattern is None else F.try_to_timestamp(c, F.lit(pattern))
+        value = c.try_cast("timestamp_ntz") if pattern is None else F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
         return F.when(c.rlike(shape), value).otherwise(rest)
 
-    none = F.lit(None).cast("timestamp")
+    none = F.lit(None).cast("timestamp_ntz")
     return F.when(F.length(c).between(4, 40), reduce(step, reversed(DATE_LAYOUTS), none))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import as_number, col, families, known
+from plumbline.functions.columns import DATED, as_number, col, families, known, micros
 
 NARROW = 24      # columns up to which a row is its own grouping key
 LONG_TEXT = 31  # bytes up to which a text is its own distinct key
@@ -42,8 +42,8 @@ def _distinct_key(name: str, kind: str) -> tuple[Column, Column, Column]:
     c = known(name, kind)
     if kind in ("whole", "boolean"):
         return c.cast("bigint"), none_fraction, none_bytes
-    if kind == "date":
-        return F.unix_micros(c.cast("timestamp")), none_fraction, none_bytes
+    if kind in DATED:
+        return micros(c, kind), none_fraction, none_bytes
     if kind == "fraction":
         return none_whole, c.cast("double"), none_bytes
     text = c.cast("string")
@@ -108,7 +108,7 @@ def copy_keys(df: DataFrame) -> list[Column]:
     for i, name in enumerate(df.columns):
         w, f, b = _distinct_key(name, kinds[name])
         kind = kinds[name]
-        keys.append((w if kind in ("whole", "boolean", "date") else f if kind == "fraction" else b).alias(f"k{i}"))
+        keys.append((w if kind in ("whole", "boolean", *DATED) else f if kind == "fraction" else b).alias(f"k{i}"))
     return keys
 
 

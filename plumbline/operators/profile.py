@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import (as_number, col, families, footprint, known, parsed_date,
+from plumbline.functions.columns import (DATED, as_number, col, families, footprint, known, micros, parsed_date,
                                          parsed_number)
 from plumbline.operators.frequencies import distinct_counts, duplicate_rows, value_frequencies
 from plumbline.operators.ordering import quantile_values
@@ -34,7 +34,7 @@ def _one_column(name: str, kind: str, dtype, ordinal: int) -> Column:
     """Every single-pass statistic of a column, packed into one struct."""
     c = known(name, kind)
     present = F.count(c)
-    no_number, no_time = F.lit(None).cast("double"), F.lit(None).cast("timestamp")
+    no_number, no_time = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
     summary = [no_number] * 5
     dates = [no_time, no_time, F.lit(None).cast("bigint")]
     is_date = is_number = F.lit(None).cast("boolean")
@@ -49,8 +49,8 @@ def _one_column(name: str, kind: str, dtype, ordinal: int) -> Column:
         clean = F.when(~F.isnan(x), x)
         summary = [F.avg(clean), F.stddev_samp(clean), F.min(clean), F.max(clean), adjusted_skew(F.skewness(clean), F.count(clean))]
         dates = [F.min(moment), F.max(moment), F.count(moment)]
-    if kind == "date":
-        moment = c.cast("timestamp")
+    if kind in DATED:
+        moment = c.cast("timestamp_ntz")
         dates = [F.min(moment), F.max(moment), F.count(moment)]
     if kind == "interval":
         dates = [no_time, no_time, present]
@@ -126,7 +126,7 @@ def unique_values(df: DataFrame, cols: list[str] | None = None, approximate: boo
 
 def _sketched(c: Column, kind: str) -> Column:
     """Distinct count from a sketch of 16384 registers, within about 1%."""
-    key = c.cast("bigint") if kind in ("whole", "boolean") else F.unix_micros(c.cast("timestamp")) if kind == "date" else c.cast("string")
+    key = c.cast("bigint") if kind in ("whole", "boolean") else micros(c, kind) if kind in DATED else c.cast("string")
     return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(key, 14)), F.lit(0)).cast("bigint")
 
 
@@ -136,7 +136,7 @@ def type_rule(settings: Settings = DEFAULTS) -> Column:
     by_count = F.when(F.col("unique_count") == 2, "boolean").when(few, "categorical").otherwise("numerical")
     return (F.when(F.col("family") == "nested", "unsupported")
             .when(F.col("family") == "boolean", "boolean")
-            .when(F.col("family").isin("date", "interval"), "datetime")
+            .when(F.col("family").isin(*DATED, "interval"), "datetime")
             .when((F.col("row_count") > 0) & (F.col("present_count") == 0), "categorical")
             .when(F.col("unique_count") / F.nullif(F.col("row_count"), F.lit(0)) > settings.id_uniqueness, "id")
             .when(F.col("family").isin("whole", "fraction", "decimal"), by_count)
@@ -212,7 +212,7 @@ def _quartiles(df: DataFrame, cols: list[str], distinct: dict[str, int] | None =
 def date_range(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, first, last, count); text that is no date counts as missing."""
     kinds = families(df)
-    moments = {c: col(c).cast("timestamp") if kinds[c] == "date" else parsed_date(col(c).cast("string")) for c in cols}
+    moments = {c: col(c).cast("timestamp_ntz") if kinds[c] in DATED else parsed_date(col(c).cast("string")) for c in cols}
     entries = [F.struct(F.lit(c).alias("column_name"), F.min(m).alias("first"), F.max(m).alias("last"), F.count(m).alias("count"))
                for c, m in moments.items()]
     return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
@@ -264,8 +264,8 @@ def column_profile(df: DataFrame, settings: Settings = DEFAULTS, approximate: bo
 
 def typed_schema(df: DataFrame) -> str:
     return ("column_name string, ordinal int, dtype string, family string, row_count bigint, present_count bigint, "
-            "bytes bigint, mean double, std double, min double, max double, skewness double, first timestamp, "
-            "last timestamp, date_count bigint, is_date boolean, is_number boolean, unique_count bigint, "
+            "bytes bigint, mean double, std double, min double, max double, skewness double, first timestamp_ntz, "
+            "last timestamp_ntz, date_count bigint, is_date boolean, is_number boolean, unique_count bigint, "
             "inferred_type string")
 
 

@@ -147,3 +147,36 @@ def test_scan_reads_only_the_wanted_columns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = profile.skewness(df, ["l_tax"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_tax:double>" in plan
+
+
+def test_wall_clock_times_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")         # 02:30 happened twice, and once not at all
+        df = spark.sql("SELECT explode(array(timestamp_ntz'2024-03-31 02:30:00', timestamp_ntz'2024-03-31 03:30:00', timestamp_ntz'2024-10-27 02:30:00.000001')) AS t")
+        row = profile.column_profile(df.unionAll(df)).first()
+        assert (row["unique_count"], row["first"], row["last"]) == (3, datetime.datetime(2024, 3, 31, 2, 30), datetime.datetime(2024, 10, 27, 2, 30, 0, 1))
+        text = profile.date_range(frame(spark, ["2024-03-31 02:30", "3/31/2024"], "string"), ["c"]).first()
+        assert (text["first"], text["last"]) == (datetime.datetime(2024, 3, 31), datetime.datetime(2024, 3, 31, 2, 30))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_scratch_folder_without_a_setting(spark):
+    from plumbline import InputError
+    from plumbline.session import scratch_dir
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Stub:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), type("Context", (), {"master": master})
+
+    local = Stub("local[2]")
+    assert scratch_dir(local) == scratch_dir(local) != scratch_dir(Stub("local[2]"))
+    with pytest.raises(InputError):
+        scratch_dir(Stub("yarn"))
+    shared = Stub("yarn")
+    shared.conf["spark.checkpoint.dir"] = "hdfs://shared/tmp"
+    assert scratch_dir(shared) == "hdfs://shared/tmp"

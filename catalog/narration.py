@@ -65,12 +65,12 @@ def reduction_findings(spark, d):
     return N.reduction_findings(reduce.select_features(profile.light_profile(numbers)))
 
 
-# --- conversations: turns with numbers 1, 4, 7 ... left out, so that one role speaks twice in a row
+# --- conversations: turns 1, 4, 7 ... given to the user, so that one role speaks several times in a row
 def uneven(spark, d):
-    return table(spark, d, "conversations").where("turn % 3 <> 1")
+    return table(spark, d, "conversations").withColumn("role", F.when(F.col("turn") % 3 == 1, "user").otherwise(F.col("role")))
 
 
-MERGED = """WITH s AS (SELECT * FROM conversations WHERE turn % 3 <> 1 AND role IN ('user', 'assistant')),
+MERGED = """WITH s AS (SELECT * FROM (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 1 THEN 'user' ELSE role END AS role FROM conversations) WHERE role IN ('user', 'assistant')),
 c AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS starts FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 i AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c)
 SELECT conv_id, CAST(run - 1 AS BIGINT) AS position, any_value(role) AS role, min(turn) AS first_turn, count(*) AS turns, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content

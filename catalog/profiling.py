@@ -245,9 +245,12 @@ ORACLES["date_range"] = union_all([
 QUERIES["skewness"] = lambda spark, d: rounded(P.skewness(table(spark, d, "events"), ["value", "user_id"]))
 ORACLES["skewness"] = _per_column(["value", "user_id"], lambda c: f"{r(f'skewness({c})')} AS skewness", "events")
 
-QUERIES["constant_columns"] = lambda spark, d: P.constant_columns(
-    table(spark, d, "orders").where("o_orderstatus = 'F'").withColumn("one", F.lit(1)))
-ORACLES["constant_columns"] = "SELECT unnest(['o_orderstatus', 'one']) AS column_name"
+QUERIES["constant_columns"] = lambda spark, d: P.constant_columns(table(spark, d, "orders").select(
+    "*", F.lit(1).alias("one"), F.when(F.col("o_orderstatus") == "F", "x").alias("x_or_missing"), F.lit(None).cast("string").alias("none")))
+ORACLES["constant_columns"] = """SELECT column_name FROM (SELECT count(DISTINCT o_orderkey) AS o_orderkey, count(DISTINCT o_custkey) AS o_custkey,
+ count(DISTINCT o_orderstatus) AS o_orderstatus, count(DISTINCT o_totalprice) AS o_totalprice, count(DISTINCT o_orderdate) AS o_orderdate,
+ count(DISTINCT o_orderpriority) AS o_orderpriority, CAST(1 AS BIGINT) AS one, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN 'x' END) AS x_or_missing FROM orders)
+ UNPIVOT (u FOR column_name IN (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, one, x_or_missing)) WHERE u = 1"""
 
 # --- targets ----------------------------------------------------------------------------
 

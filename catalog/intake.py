@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from catalog.shared import rounded, sql_round as r, table, union_all
+from catalog.shapes import ORACLES as SHAPES_SQL, QUERIES as SHAPES
 from catalog.statistics import ORACLES as STATS, wide_associations
 from plumbline.operators import associations as A
 from plumbline.operators import profile
@@ -120,6 +121,12 @@ def _matrix(spark, d):
     return rounded(tables.read_csv(spark, path))
 
 
+def _embedding(spark, d):
+    path = scratch_path(spark, "embedding")
+    store.write_section(SHAPES["pca_embedding_two"](spark, d), path, "csv")
+    return rounded(tables.read_csv(spark, path), 4)
+
+
 def _json(spark, d):
     path = scratch_path(spark, "json")
     store.write_section(profile.missing_values(table(spark, d, "orders")), path, "json")
@@ -145,6 +152,7 @@ QUERIES = {
     "file_fingerprint": lambda spark, d: store.file_fingerprint(spark, f"{d}/*.parquet"),
     "result_store": _stored,
     "write_matrix": _matrix,
+    "write_embeddings": _embedding,
     "write_report_json": _json,
     "title_from_name": lambda spark, d: table(spark, d, "part").select(
         "p_partkey", tables.title_from_name(F.concat_ws("_", F.translate("p_name", " ", "-"), "p_brand")).alias("title")),
@@ -172,6 +180,7 @@ ORACLES = {
     "result_store": union_all([f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS missing_count, CAST(0.0 AS DOUBLE) AS missing_pct FROM orders"
                                for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]),
     "write_matrix": STATS["association_matrix"],
+    "write_embeddings": SHAPES_SQL["pca_embedding_two"],
     "title_from_name": """SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(replace(p_name || '_' || p_brand, '_', ' ')), '[a-z]+|[^a-z]+'),
  lambda x: upper(x[1]) || x[2:]), '') || ' Analysis' AS title FROM (SELECT p_partkey, p_name, p_brand FROM part)""",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, packing, quality
+from plumbline.llm import decontamination, neardup, packing, quality
 from plumbline.llm.common import table
 
 
@@ -22,5 +22,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_packing": op3_packing, "op5_decontamination": op5_decontamination}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_packing": op3_packing, "op5_decontamination": op5_decontamination,
+    "op9_near_duplicates": op9_near_duplicates}
 ORACLES: dict[str, str] = {}

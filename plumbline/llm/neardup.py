@@ -117,7 +117,7 @@ def _signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int, points: in
     seeds, texts, lows, widths, weights = [], [], [], [], []
     low, width, level = 0.0, 1.0, 1
     while len(element):                                   # intervals [0,1), [1,2), [2,4), ...
-        seeds.append(_mix(element + np.uint64(level) * _M2))
+        seeds.append(_mix(element + np.full(1, level, dtype=np.uint64) * _M2))
         texts.append(text)
         lows.append(np.full(len(element), low))
         widths.append(np.full(len(element), width))

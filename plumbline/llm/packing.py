@@ -15,7 +15,9 @@ other than `doc_id` and `text` are not read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -37,8 +39,8 @@ TOKENIZER = "word_bpe_49k.json"
 SEARCH_NODES = 20_000
 #: Undominated fillings tried around one largest piece.
 BRANCHES = 8
-#: Words that one task remembers the ids of, before it forgets them all.
-WORDS_KEPT = 200_000
+#: Words in one generation of remembered ids; two generations are kept.
+WORDS_KEPT = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -59,50 +61,51 @@ class WordTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tokenizers
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.split, self.tokenize = self.SPLIT.match, self.tokenizer.model.tokenize
+        # two generations of words, kept by the library's module from task to task
+        self.memory = tokenizers.__dict__.setdefault("_words_by_path", {}).setdefault(path, [{}, {}])
+        self.marks: dict[bytes, bytes] = {}
 
     def whole(self, raw: bytes) -> bytes:
-        ids = self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids).tobytes()
 
-    def part(self, part: bytes) -> bytes:
-        found = self.parts.get(part)
+    def word(self, word: bytes) -> bytes:
+        """The ids of a word that the younger generation doesn't have."""
+        young, old = self.memory
+        found = old.get(word)
         if found is None:
-            if part.isalpha() and part.isascii():
-                found = np.array([t.id for t in self.model.tokenize(part.decode())], dtype="<u4").tobytes()
+            simple = self.split(word)
+            if simple is None:
+                found = self.whole(word)
             else:
-                found = self.whole(part)
-            if len(self.parts) >= WORDS_KEPT:
-                self.parts.clear()
-            self.parts[part] = found
-        return found
-
-    def word(self, word: bytes) -> bytes:
-        simple = self.SPLIT.match(word)
-        if simple is None:
-            found = self.part(word)
-        else:
-            found = self.part(simple[1]) + (self.part(simple[2]) if simple[2] else b"")
-        if len(self.known) >= WORDS_KEPT:
-            self.known.clear()
-        self.known[word] = found
+                letters, marks = simple.groups()
+                found = array("I", [t.id for t in self.tokenize(letters.decode())]).tobytes()
+                if marks:
+                    more = self.marks.get(marks)
+                    if more is None:
+                        more = self.whole(marks)
+                        if len(marks) == 1:
+                            self.marks[marks] = more
+                    found += more
+        if len(young) >= WORDS_KEPT:
+            self.memory[:] = {}, young
+        self.memory[0][word] = found
         return found
 
     def ids(self, raw: bytes) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        """The ids of a text as unsigned 32-bit numbers, in this machine's order."""
         if b"<|" in raw:
             return self.whole(raw)
-        known, word = self.known.get, self.word
-        return b"".join([known(w) or word(w) for w in raw.lower().split()])
+        known, word = self.memory[0].get, self.word
+        ids = b"".join([known(w) or word(w) for w in raw.lower().split()])
+        return ids
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -110,12 +113,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
     the pieces of each length inside the partition that made them."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, end = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), np.array([END], dtype="<u4").tobytes()
+        tokens, part, end = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), array("I", [END]).tobytes()
         seen, step = np.zeros(capacity + 1, dtype=np.int64), 4 * capacity
         for batch in batches:
             ids, rows, held = batch.column(0).to_pylist(), [], []
             for doc_id, raw in zip(ids, raw_texts(batch.column(1))):
                 all_ids = tokens.ids(raw) + end
+                if sys.byteorder == "big":
+                    all_ids = np.frombuffer(all_ids, dtype=">u4").astype("<u4").tobytes()
                 for piece, at in enumerate(range(0, len(all_ids), step)):
                     chunk = all_ids[at:at + step]
                     length = len(chunk) // 4

@@ -1,23 +1,45 @@
-"""The corpus pipeline: what it drops, cuts and packs, stage by stage."""
+"""The corpus pipeline: documents judged, deduplicated, decontaminated, packed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import packing
+from plumbline.llm import decontamination, neardup, packing, quality
 from plumbline.llm.common import table
 from plumbline.session import cut, ship
 
 ship(__name__)
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, unchanged."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, unchanged."""
+    return neardup.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark: spans are cut out, documents
+    that are mostly benchmark go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining document as token pieces with their places in sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", best_fit_packing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
+#: No stage but the counts of the first can be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontamination, neardup, packing, quality, sharding, urls
+from plumbline.llm import chat, decontamination, html, neardup, packing, quality, sharding, urls
 from plumbline.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_html": op8_html,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_urls": op10_urls,
 }

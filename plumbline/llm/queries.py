@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontamination, html, neardup, packing, quality, sharding, urls
+from plumbline.llm import chat, decontamination, html, neardup, packing, quality, scoring, sharding, urls
 from plumbline.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_scoring": op6_scoring,
     "op7_sharding": op7_sharding,
     "op8_html": op8_html,
     "op9_near_duplicates": op9_near_duplicates,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontamination, html, neardup, packing, quality, scoring, sharding, urls
+from plumbline.llm import chat, decontamination, html, licenses, neardup, packing, quality, scoring, sharding, urls
 from plumbline.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_chat": op2_chat,
     "op3_packing": op3_packing,
+    "op4_licenses": op4_licenses,
     "op5_decontamination": op5_decontamination,
     "op6_scoring": op6_scoring,
     "op7_sharding": op7_sharding,

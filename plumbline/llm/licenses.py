@@ -117,12 +117,25 @@ class Index:
             out.append((template, low, high))
         return out
 
-    def align(self, words: list[bytes], template: int, low: int, high: int) -> tuple[int, int, int]:
-        """Matched words, first and last + 1 word of the document, of the best
-        local alignment (match 1, mismatch and gap -1) near the diagonals."""
+    def aligned(self, words: list[bytes], template: int, low: int, high: int, least: float) -> list[tuple[int, int, int]]:
+        """The alignments near the diagonals with at least `least` matched words:
+        the best one, then those before and after it."""
+        out, length = [], len(self.words[template])
+        todo = [(max(0, low - BAND), min(len(words), high + length + BAND))]
+        while todo:
+            first, last = todo.pop()
+            if last - first >= least:
+                matched, start, end = self.align(words, template, low, high, first, last)
+                if matched >= least:
+                    out.append((matched, start, end))
+                    todo += [(first, start), (end, last)]
+        return out
+
+    def align(self, words: list[bytes], template: int, low: int, high: int, first: int, last: int) -> tuple[int, int, int]:
+        """Matched words, first and last + 1 word of the best local alignment
+        (match 1, mismatch and gap -1) within words first to last."""
         wanted = self.words[template]
         get = self.vocabulary.get
-        first, last = max(0, low - BAND), min(len(words), high + len(wanted) + BAND)
         text = [get(w, -1) for w in words[first:last]]
         width = high - low + 2 * BAND + 1
         shift = low - BAND - first                       # column c of row t stands for text[t + shift + c]
@@ -157,9 +170,7 @@ class Index:
         """(template, matched words, first word, last word + 1) of the matches."""
         found: dict[int, list[tuple[int, int, int]]] = {}
         for template, low, high in self.candidates(words):
-            matched, start, end = self.align(words, template, low, high)
-            if matched >= coverage * len(self.words[template]):
-                found.setdefault(template, []).append((matched, start, end))
+            found.setdefault(template, []).extend(self.aligned(words, template, low, high, max(1.0, coverage * len(self.words[template]))))
         out = []
         for template, options in sorted(found.items()):
             taken: list[tuple[int, int]] = []

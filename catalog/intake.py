@@ -96,6 +96,35 @@ def write_workbooks(df, by):
     return folder
 
 
+#: Beyond what a double tells apart, so that neighbours fall together where one is used.
+FAR_ID = 10 ** 18
+
+
+def _long_ids(spark, d):
+    """Identifiers of 19 digits, with and without missing cells, and of 21 digits."""
+    key = F.col("o_orderkey")
+    ids = table(spark, d, "orders").select((key + FAR_ID).alias("id"), F.when(key % 3 == 0, F.lit(None)).otherwise(key + FAR_ID).alias("gappy"), F.concat(F.lit("99"), key + FAR_ID).alias("longer"))
+    read = tables.read_table(spark, as_csv(ids), "csv", ",")
+    return read.select("id", "gappy", F.col("longer").cast("string").alias("longer"), *[F.lit(dict(read.dtypes)[c]).alias(f"{c}_type") for c in ("gappy", "longer")])
+
+
+def _repeated(spark, d):
+    """A sample of a table with three keys."""
+    rows = table(spark, d, "lineitem").select("l_returnflag")
+    return tables.sample_rows(rows, 1000, ["l_returnflag"]).agg(F.count("*").alias("n"), F.count_distinct("l_returnflag").alias("flags"))
+
+
+def _missing_told_apart(spark, d):
+    """Two columns that differ only in where their cells are missing; and one table in two layouts."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    even = F.col("o_orderkey") % 2 == 0
+    one = orders.select(F.when(even, F.col("o_custkey")).alias("a"), F.when(~even, F.col("o_custkey")).alias("b"))
+    other = one.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    of = lambda df: store.table_fingerprint(df).first()["fingerprint"]
+    same = of(orders) == of(orders.repartition(7))
+    return orders.agg(F.count("*").alias("rows")).select("rows", F.lit(of(one) != of(other)).alias("told_apart"), F.lit(same).alias("layout_free"))
+
+
 def _delimiters(spark, d):
     out = None
     rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
@@ -134,7 +163,7 @@ def _json(spark, d):
 
 
 QUERIES = {
-    "scan_parquet": lambda spark, d: tables.read_table(spark, f"{d}/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"),
+    "scan_parquet": lambda spark, d: tables.read_table(spark, f"{d}/orders.parquet"),
     "scan_csv": lambda spark, d: rounded(tables.read_table(spark, _orders_csv(spark, d), "csv")),
     "scan_csv_semicolon": lambda spark, d: rounded(tables.read_table(spark, _orders_csv(spark, d, ";"), "csv", ";")),
     "scan_csv_line_breaks": lambda spark, d: tables.read_table(spark, as_csv(table(spark, d, "documents").select("doc_id", "text", "lang")), "csv", ","),
@@ -143,11 +172,14 @@ QUERIES = {
     "detect_delimiter": _delimiters,
     "scan_arrow": lambda spark, d: tables.read_table(spark, write_arrow(table(spark, d, "customer").repartition(4)), "arrow"),
     "scan_workbooks": lambda spark, d: tables.read_table(spark, write_workbooks(table(spark, d, "customer").withColumn("part", F.col("c_custkey") % 4), "part"), "workbook"),
-    "row_count": lambda spark, d: table(spark, d, "lineitem").agg(F.count("*").alias("n")),
+    "scan_csv_long_ids": _long_ids,
+    "row_count": lambda spark, d: spark.createDataFrame([(tables.row_count(table(spark, d, "lineitem")),)], "n bigint"),
     "sample_rows": lambda spark, d: tables.sample_rows(table(spark, d, "orders"), 500, ["o_orderkey"]).select("o_orderkey", "o_totalprice"),
+    "sample_rows_repeated": _repeated,
     "sample_rows_all": lambda spark, d: tables.sample_rows(table(spark, d, "region"), 500, ["r_regionkey"]).select("r_name"),
     "preview": lambda spark, d: tables.preview(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_extendedprice"),
     "table_fingerprint": lambda spark, d: store.table_fingerprint(table(spark, d, "lineitem")),
+    "table_fingerprint_missing": _missing_told_apart,
     "row_digests": lambda spark, d: store.row_digests(table(spark, d, "documents").select("doc_id", "text", "lang", F.nullif("source", F.lit("src0")).alias("source")), ["doc_id"]),
     "file_fingerprint": lambda spark, d: store.file_fingerprint(spark, f"{d}/*.parquet"),
     "result_store": _stored,
@@ -163,7 +195,7 @@ _CSV_SQL = """SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN {custkey} END
     custkey=r("o_custkey"), price=r("o_totalprice"))
 
 ORACLES = {
-    "scan_parquet": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
+    "scan_parquet": "SELECT * FROM orders",
     "scan_csv": _CSV_SQL,
     "scan_csv_semicolon": _CSV_SQL,
     "scan_csv_line_breaks": "SELECT doc_id, text, lang FROM documents",
@@ -173,6 +205,10 @@ ORACLES = {
     "scan_workbooks": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "row_count": "SELECT count(*) AS n FROM lineitem",
     "sample_rows": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 500",
+    "scan_csv_long_ids": f"""SELECT o_orderkey + {FAR_ID} AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey + {FAR_ID} END AS gappy, '99' || (o_orderkey + {FAR_ID}) AS longer,
+ 'bigint' AS gappy_type, 'decimal(38,0)' AS longer_type FROM orders""",
+    "sample_rows_repeated": "SELECT least(1000, count(*)) AS n, count(DISTINCT l_returnflag) AS flags FROM lineitem",
+    "table_fingerprint_missing": "SELECT count(*) AS rows, true AS told_apart, true AS layout_free FROM orders",
     "sample_rows_all": "SELECT r_name FROM region",
     "preview": "SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5",
     "row_digests": """SELECT doc_id, sha256(length(doc_id::VARCHAR) || ':' || doc_id || '|' || length(text) || ':' || text || '|' || length(lang) || ':' || lang || '|'

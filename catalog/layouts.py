@@ -41,7 +41,7 @@ QUERIES = {
     "tsne": lambda spark, d: layout.tsne(ready_vectors(spark, d), EMBED, "vec_id", iterations=16),
     "umap": lambda spark, d: layout.umap(ready_vectors(spark, d), EMBED, "vec_id", rounds=12),
     "analyze_supervised": lambda spark, d: _analysis(spark, d, "events", keys=["event_id"], target="event_type", table_of="findings"),
-    "analyze_unsupervised": lambda spark, d: _analysis(spark, d, "lineitem", task="unsupervised", mode="fast", steps=["statistics"],
+    "analyze_unsupervised": lambda spark, d: _analysis(spark, d, "lineitem", task="unsupervised", mode="full", steps=["statistics"],
                                                        keys=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], table_of="associations"),
 }
 

@@ -42,8 +42,8 @@ def _hist_sql(source, cols):
     parts = []
     for c in cols:
         parts.append(f"""SELECT '{c}' AS column_name, b.bin, lo + b.bin * width AS low, lo + (b.bin + 1) * width AS high, count(v) AS count FROM (
- SELECT *, (hi - lo) / bins AS width FROM (SELECT *, CAST(greatest(1, ceil((hi - lo) / CASE WHEN fd > 0 THEN least(fd, st) ELSE st END)) AS BIGINT) AS bins FROM (
- SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, (max({c}) - min({c})) / (log2(count({c})) + 1) AS st,
+ SELECT *, (hi - lo) / bins AS width FROM (SELECT *, CAST(greatest(1, ceil((hi - lo) / least(greatest(fd, sq), st))) AS BIGINT) AS bins FROM (
+ SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, (max({c}) - min({c})) / (log2(count({c})) + 1) AS st, (max({c}) - min({c})) / sqrt(count({c})) / 2 AS sq,
   2 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / power(count({c}), 1.0 / 3) AS fd FROM {source}))) s,
  LATERAL (SELECT unnest(range(s.bins)) AS bin) b LEFT JOIN (SELECT CAST({c} AS DOUBLE) AS v FROM {source} WHERE {c} IS NOT NULL) d
  ON v >= lo + b.bin * width AND (v < lo + (b.bin + 1) * width OR b.bin = bins - 1) GROUP BY ALL""")
@@ -82,6 +82,12 @@ _F_SQL = _squares_sql("(SELECT hue, coalesce(price, (SELECT median(price) FROM "
 
 _VIOLIN_SOURCE = "(SELECT source, CAST(n_chars AS DOUBLE) AS n_chars FROM documents)"
 
+def _far(spark, d):
+    """Prices with a few values far away."""
+    first = F.expr("l_orderkey = 1 and l_linenumber = 1")
+    return table(spark, d, "lineitem").select(F.when(first, 1e9).otherwise(F.col("l_extendedprice").cast("double")).alias("price"))
+
+
 QUERIES = {
     "select_features": lambda spark, d: rounded(reduce.select_features(profile.light_profile(
         table(spark, d, "lineitem").withColumn("always", F.lit(1.5))), "l_quantity").drop("ordinal")),
@@ -108,6 +114,7 @@ QUERIES = {
         table(spark, d, "events").withColumn("band", F.when(F.col("value") > 100, "high").when(F.col("value") > 30, "middle").otherwise("low")),
         "band", ["value", "user_id"], ["event_type"], 2),
     "histogram": lambda spark, d: rounded(plotdata.histogram(gappy(spark, d), ["l_quantity", "l_extendedprice"])),
+    "histogram_far_values": lambda spark, d: rounded(plotdata.histogram(_far(spark, d), ["price"])),
     "histogram_events": lambda spark, d: rounded(plotdata.histogram(table(spark, d, "events"), ["value"])),
     "kde_curve": lambda spark, d: _rounded_curve(plotdata.kde_curve(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"])),
     "kde_curve_events": lambda spark, d: _rounded_curve(plotdata.kde_curve(table(spark, d, "events"), ["value"])),
@@ -144,6 +151,7 @@ SELECT o_orderkey, {r('abs(a + CASE WHEN c < 0 THEN -b ELSE b END) / sqrt(2)', 4
     "ordinal_encode": union_all([f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, row_number() OVER (ORDER BY {c}) - 1 AS code FROM "
                                  f"(SELECT DISTINCT {c} FROM {GAPPY_SQL} WHERE {c} IS NOT NULL)" for c in ("l_returnflag", "l_linenumber", "l_discount")]),
     "histogram": _hist_sql(GAPPY_SQL, ["l_quantity", "l_extendedprice"]),
+    "histogram_far_values": _hist_sql("(SELECT CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN 1e9 ELSE CAST(l_extendedprice AS DOUBLE) END AS price FROM lineitem)", ["price"]),
     "histogram_events": _hist_sql("events", ["value"]),
     "kde_curve": _kde_sql([(c, "lineitem", c) for c in ("l_quantity", "l_extendedprice")], 200, 0, "column_name"),
     "kde_curve_events": _kde_sql([("value", "events", "value")], 200, 0, "column_name"),

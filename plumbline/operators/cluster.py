@@ -29,7 +29,7 @@ def kmeans_clusters(df: DataFrame, cols: list[str], keys: list[str], settings: S
     if k < 2:
         return vectors.select(*[col(c) for c in keys], F.lit(0).alias("cluster"))
     def run(i: int):
-        return KMeans(k=k, seed=settings.sample_seed + i, maxIter=100, featuresCol="_v", predictionCol="_run").fit(vectors)
+        return KMeans(k=k, seed=settings.sample_seed + i, maxIter=settings.cluster_rounds, featuresCol="_v", predictionCol="_run").fit(vectors)
 
     # The restarts are independent: their jobs share the cluster.
     with ThreadPoolExecutor(settings.cluster_restarts) as pool:

@@ -13,7 +13,6 @@ from plumbline.operators.ordering import quantile_values
 from plumbline.settings import DEFAULTS, Settings
 
 # Fixed values of the charts.
-MOST_BARS = 20
 VIOLIN_CATEGORIES = 20
 GROUPED_CATEGORIES = 15
 CURVE_POINTS = 200
@@ -31,13 +30,14 @@ def _spread(wide: DataFrame, cols: list[str]) -> dict[str, dict]:
 
 
 def bin_count(n: int, low: float, high: float, iqr: float) -> int:
-    """The finer of the Freedman-Diaconis and Sturges rules; Sturges when the IQR is 0."""
+    """The finer of the Freedman-Diaconis and Sturges rules; half the width of
+    the square-root rule bounds the former, so that far values add few bins."""
     span = high - low
     if span == 0:
         return 1
     sturges = span / (math.log2(n) + 1)
-    diaconis = 2 * iqr / n ** (1 / 3)
-    return max(1, math.ceil(span / (min(diaconis, sturges) if diaconis else sturges)))
+    diaconis = max(2 * iqr / n ** (1 / 3), span / math.sqrt(n) / 2)
+    return max(1, math.ceil(span / min(diaconis, sturges)))
 
 
 def histogram(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -110,7 +110,7 @@ def count_bars(df: DataFrame, cols: list[str], bars: int = DEFAULTS.bars) -> Dat
     """(column_name, place, value, count): the most frequent categories."""
     ranked = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     return (value_frequencies(df, cols).withColumn("place", F.row_number().over(ranked))
-            .where(F.col("place") <= min(bars, MOST_BARS)).select("column_name", "place", "value", F.col("n").alias("count")))
+            .where(F.col("place") <= bars).select("column_name", "place", "value", F.col("n").alias("count")))
 
 
 def embedding_points(embedding: DataFrame, hue: DataFrame, keys: list[str]) -> DataFrame:

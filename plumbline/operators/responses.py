@@ -21,9 +21,9 @@ INSTRUCTIONS = (
     "You explain the results of a data analysis to its owner. Answer with one JSON object and nothing else. Its text fields are "
     + ", ".join(TEXT_FIELDS) + ". Its field recommendations holds the lists " + ", ".join(ADVICE_FIELDS)
     + "; every entry has category, description and priority from 1 (urgent) to 3.")
-SAMPLE_NOTE = ("Note: only a sample of the rows was analysed. original_row_count is the true size; "
-               "treat every conclusion as preliminary and do not advise on the sample's size.\n")
-REPAIR = "Correct the JSON below. Keep every field as it is, fix the syntax only, and answer with the JSON object alone."
+SAMPLE_NOTE = ("The figures below come from part of the table; the field original_row_count says how many rows it really has. "
+               "Word findings as tendencies.\n")
+REPAIR = "The next message should be one JSON object but does not parse. Send it back as valid JSON with the same content and no other text."
 
 
 def _messages(system: Column, user: Column, cached: bool) -> Column:

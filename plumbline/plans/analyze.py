@@ -14,10 +14,10 @@ from plumbline.operators import cluster, collinearity, features, findings, layou
 from plumbline.session import InputError, cut
 from plumbline.settings import DEFAULTS, Settings
 from plumbline.sources import store
-from plumbline.sources.tables import sample_rows
+from plumbline.sources.tables import preview, sample_rows
 
 # The steps in the order they run, each with the steps it builds on.
-STEPS = {"profile": [], "target": ["profile"], "statistics": ["profile", "target"], "reduction": ["profile", "target"],
+STEPS = {"profile": [], "target": ["profile"], "statistics": ["profile", "target"], "reduction": ["profile"],
          "charts": ["statistics", "reduction"], "narration": ["statistics"]}
 LAYOUTS = ("pca", "tsne", "umap")
 
@@ -53,6 +53,8 @@ class _Run:
 
 
 def _profile(run: _Run) -> None:
+    by = [k for k, kind in families(run.df).items() if kind != "nested"]
+    run.put("preview", lambda: preview(run.df, run.keys or by))
     stats = run.put("dataset_stats", lambda: profile.dataset_stats(run.df, run.original_rows))
     columns = run.put("column_profile", lambda: profile.column_profile(run.df, run.settings))
     run.findings += [findings.dataset_findings(stats, run.settings), findings.column_findings(columns, run.settings)]
@@ -77,6 +79,9 @@ def _statistics(run: _Run) -> None:
         run.findings.append(findings.vif_findings(run.put("vif", lambda: collinearity.vif(run.df, inputs)), s))
     pairs = run.put("associations", lambda: A.associations(run.df, cats, nums))
     run.findings.append(findings.association_findings(pairs, s))
+    for name, kind, there in (("matrix_numbers", A.NUM_NUM, len(nums) > 1), ("matrix_categories", A.CAT_CAT, len(cats) > 1), ("matrix_mixed", A.CAT_NUM, cats and nums)):
+        if there:
+            run.put(name, lambda kind=kind: A.association_matrix(pairs, kind))
     if run.task != "supervised":
         return
     if run.target in cats:
@@ -103,13 +108,20 @@ def _reduction(run: _Run) -> None:
         run.put("embedding_umap", lambda: layout.umap(ready, cols, key, run.settings))
 
 
-def _hue(run: _Run) -> tuple[DataFrame, str, str]:
-    """The table with its colouring column, that column's name and the row key."""
+def _hue(run: _Run) -> tuple[DataFrame, str, str] | None:
+    """The table with its colouring column, that column's name and the row key;
+    without a colouring column a finding says why."""
     keyed, key = run.row_key()
     if run.task == "supervised" and run.target is not None:
         return keyed, run.target, key
+    if run.task == "supervised":
+        run.findings.append(findings.finding(run.df.sparkSession, "charts", "WARNING", "no_target_for_hue", "There is no target to colour the charts by; clusters are used."))
     cols = reduce.feature_names(run.tables["column_profile"], None)
-    labels = run.put("clusters", lambda: cluster.kmeans_clusters(keyed, cols, [key], run.settings))
+    try:
+        labels = run.put("clusters", lambda: cluster.kmeans_clusters(keyed, cols, [key], run.settings))
+    except Exception as error:
+        run.findings.append(findings.finding(run.df.sparkSession, "charts", "ERROR", "clustering_failed", f"The rows could not be clustered: {error}"))
+        return None
     return keyed.join(labels, key), "cluster", key
 
 
@@ -122,7 +134,10 @@ def _charts(run: _Run) -> None:
     if cats:
         run.put("count_bars", lambda: plotdata.count_bars(run.df, cats, s.bars))
     run.put("heatmap_cells", lambda: _heatmaps(run.tables["associations"]))
-    colored, hue, key = _hue(run)
+    found = _hue(run)
+    if found is None:
+        return
+    colored, hue, key = found
     is_number = hue != "cluster" and plotdata.numeric_hue(columns, hue, s)
     run.put("plot_plan", lambda: plotdata.plot_plan(columns, hue, is_number))
     if hue == "cluster":
@@ -205,7 +220,7 @@ def analyze(df: DataFrame, task: str = "supervised", target: str | None = None,
     fingerprint = key = None
     if store_root is not None:
         fingerprint = store.table_fingerprint(df).first()["fingerprint"]
-        options = repr((task, target, mode, keys, original_rows, sorted(layouts)))
+        options = repr((task, target, mode, keys, original_rows, sorted(layouts), title))
         key = store.store_key(fingerprint + options, settings)
 
     def save(name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -229,11 +244,13 @@ def analyze(df: DataFrame, task: str = "supervised", target: str | None = None,
             run.findings.append(findings.finding(spark, step, "ERROR", "step_failed", f"Step {step} failed: {error}"))
     for name, make in (extra_steps or {}).items():
         try:
-            run.put(name, lambda make=make: make(dict(run.tables)))
+            run.tables[name] = cut(make(dict(run.tables)), name)        # never from the store: its function may have changed
         except Exception as error:
             run.findings.append(findings.finding(spark, name, "ERROR", "step_failed", f"Step {name} failed: {error}"))
     run.tables["findings"] = cut(findings.merge_findings(spark, run.findings), "findings")
+    run.tables["alerts"] = findings.alerts(run.tables["findings"])
     if "column_profile" in run.tables:
+        run.tables["health_metrics"] = findings.health_metrics(run.tables["dataset_stats"])
         run.tables["column_insights"] = findings.column_insights(run.tables["findings"], run.tables["column_profile"])
     run.tables["run"] = spark.createDataFrame(
         [(fingerprint, title, mode, task, target, run.target, original_rows)],

@@ -43,6 +43,7 @@ class Settings:
 
     clusters: int = 4
     cluster_restarts: int = 10
+    cluster_rounds: int = 300
     bars: int = 10
     bivariate_top: int = -1
 

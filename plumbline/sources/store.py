@@ -18,9 +18,11 @@ from plumbline.settings import Settings
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """(row_count, hash_sum, hash_xor, fingerprint): independent of row order and file layout.
 
-    Sums of row hashes merge in any order, so nothing is sorted or shuffled.
+    Sums of row hashes merge in any order, so nothing is sorted or shuffled. A
+    row hash takes in for every column whether its cell is missing, as a missing
+    cell alone would leave no trace of its place.
     """
-    hashes = df.select(F.xxhash64(*[col(c) for c in df.columns]).alias("h"))
+    hashes = df.select(F.xxhash64(*[e for c in df.columns for e in (col(c).isNull(), col(c))]).alias("h"))
     sums = hashes.agg(F.count("h").alias("row_count"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
                       F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"))
     schema = F.lit(df.schema.simpleString())
@@ -61,6 +63,11 @@ def save_section(df: DataFrame, root: str, key: str, name: str) -> DataFrame:
     return saved
 
 
+def _shape(schema: dict) -> list[tuple[str, str]]:
+    """Names and types of the columns; Parquet makes every one nullable."""
+    return [(f["name"], json.dumps(f["type"], sort_keys=True).replace("false", "true")) for f in schema["fields"]]
+
+
 def load_section(spark: SparkSession, root: str, key: str, name: str) -> DataFrame | None:
     """A finished result table, or None when it is absent, unfinished or unreadable."""
     try:
@@ -70,7 +77,7 @@ def load_section(spark: SparkSession, root: str, key: str, name: str) -> DataFra
         if isinstance(error, AnalysisException) or "parquet" in str(error).lower():
             return None
         raise
-    if done is None or saved.columns != [f["name"] for f in json.loads(done["schema"])["fields"]]:
+    if done is None or _shape(saved.schema.jsonValue()) != _shape(json.loads(done["schema"])):
         return None
     return saved
 

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import csv
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col, normalise_missing
-from plumbline.session import InputError
+from plumbline.session import InputError, cut
 
 # Texts that stand for a missing cell in delimited files.
 MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
                  "NULL", "NaN", "None", "n/a", "nan", "null"]
 DELIMITERS = ",;\t|"
-SNIFFED = 16_384
+EXACT_DOUBLE = 2 ** 53          # whole numbers beyond it may share a double
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".feather": "arrow", ".arrow": "arrow", ".xlsx": "workbook"}
 
 
@@ -45,18 +44,17 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """The separator the head of the file speaks for, a comma when in doubt."""
-    lines, size = [], 0
-    for row in spark.read.text(path).limit(500).collect():
-        line = row["value"][:SNIFFED - size]
-        lines.append(line)
-        size += len(line) + 1
-        if size >= SNIFFED:
-            break
-    try:
-        return csv.Sniffer().sniff("\n".join(lines), delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        return ","
+    """The separator that occurs most evenly in all lines, a comma when in doubt.
+
+    One aggregate over the whole input: per candidate the number a line has
+    outside of quotes, and how much that number varies.
+    """
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    counts = {s: F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) for s in DELIMITERS}
+    found = lines.agg(*[e for i, s in enumerate(DELIMITERS) for e in (F.avg(counts[s]).alias(f"mean{i}"), F.stddev_pop(counts[s]).alias(f"spread{i}"))]).first()
+    seen = [(found[f"spread{i}"] / found[f"mean{i}"], -found[f"mean{i}"], i) for i in range(len(DELIMITERS)) if found[f"mean{i}"]]
+    return DELIMITERS[min(seen)[2]] if seen else ","
 
 
 def _spans_lines(spark: SparkSession, path: str) -> bool:
@@ -80,17 +78,21 @@ def typed_text(raw: DataFrame) -> DataFrame:
     """Text columns turned into bigint, double or boolean where every cell allows it.
 
     One pass; its result is one row. Whole numbers with missing cells become
-    doubles and an empty column is a double one.
+    doubles and an empty column is a double one. Whole numbers that a double
+    cannot hold stay exact: bigint, else decimal(38,0), else text.
     """
     text = {c: F.when(~col(c).isin(MISSING_TEXTS), col(c)) for c in raw.columns}
     if not text:
         return raw
-    whole, number = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+    whole, number = r"^\s*[+-]?\d+\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
     # Counted per cell, so that a text column costs one regex that fails at its first letter.
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(raw.columns):
         t = text[c]
-        aggs += [F.count(t).alias(f"k{i}"), F.count_if(t.rlike(whole)).alias(f"w{i}"), F.count_if(t.rlike(number)).alias(f"f{i}"),
+        digits = F.when(t.rlike(whole), F.trim(t))
+        wide = digits.try_cast("decimal(38,0)")
+        aggs += [F.count(t).alias(f"k{i}"), F.count(digits).alias(f"w{i}"), F.count_if(t.rlike(number)).alias(f"f{i}"),
+                 F.count(wide).alias(f"d{i}"), F.count(digits.try_cast("bigint")).alias(f"l{i}"), F.count_if(F.abs(wide) > EXACT_DOUBLE).alias(f"e{i}"),
                  F.count_if(F.lower(t).isin("true", "false")).alias(f"b{i}")]
     found = raw.agg(*aggs).first()
     out = []
@@ -98,8 +100,9 @@ def typed_text(raw: DataFrame) -> DataFrame:
         present, t = found[f"k{i}"], text[c]
         if present and found[f"b{i}"] == present == found["rows"]:
             t = F.lower(t).cast("boolean")
-        elif found[f"w{i}"] == present == found["rows"] and present:
-            t = F.trim(t).cast("bigint")
+        elif present and found[f"w{i}"] == present and (found[f"e{i}"] or found[f"d{i}"] < present or present == found["rows"]):
+            fits = "bigint" if found[f"l{i}"] == present else "decimal(38,0)" if found[f"d{i}"] == present else "string"
+            t = F.trim(t).cast(fits)
         elif found[f"f{i}"] == present:
             t = F.trim(t).try_cast("double")
         out.append(t.alias(c))
@@ -115,18 +118,33 @@ def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataF
     """Exactly n rows, or all of them if there are no more, the same on every run.
 
     Rows are ordered by a seeded digest of their key. A digest threshold first
-    lets through little more than n rows; digests are uniform, and the margin
-    of twelve standard deviations makes a shortfall practically impossible.
+    lets through little more than n rows. Where keys repeat, the threshold may
+    let through too few rows or far too many: then every further copy of a key
+    inside a partition gets a digest of its own, so that no key meets one task,
+    and the threshold is raised until enough rows pass.
     """
     total = df.count()
     if total <= n:
         return df
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys]).cast("binary"))
-    share = min(1.0, (n + 12 * n ** 0.5 + 100) / total)
-    picked = df.withColumn("_digest", digest)
-    if share < 1.0:
-        picked = picked.where(F.col("_digest") < f"{int(share * 16 ** 32):032x}")
-    return picked.orderBy("_digest", *[col(k) for k in keys]).limit(n).drop("_digest")
+    slack = 12 * n ** 0.5 + 100
+
+    def passing(rows: DataFrame, share: float) -> DataFrame:
+        return rows.where(F.col("_digest") < f"{int(share * 16 ** 32):032x}") if share < 1.0 else rows
+
+    def digest(*parts: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys], *parts).cast("binary"))
+
+    share = (n + slack) / total
+    rows = df.withColumn("_digest", digest())
+    picked = passing(rows, share).count()
+    if not n <= picked <= n + 2 * slack:
+        copy = Window.partitionBy("_digest", "_part").orderBy("_row")
+        numbered = rows.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}).withColumn("_copy", F.row_number().over(copy))
+        rows = cut(numbered.withColumn("_digest", F.when(F.col("_copy") > 1, digest(F.col("_part"), F.col("_copy"))).otherwise(F.col("_digest"))).drop("_part", "_copy"), "copies")
+        while share < 1.0 and passing(rows, share).count() < n:
+            share *= 2
+    order = ["_digest", *[col(k) for k in keys], *(["_row"] if "_row" in rows.columns else [])]
+    return passing(rows, share).orderBy(*order).limit(n).drop("_digest", "_row")
 
 
 def preview(df: DataFrame, keys: list[str], n: int = 5) -> DataFrame:

@@ -9,10 +9,10 @@ component's point with a probability equal to their weighted Jaccard
 similarity. A process ends at once when its time passes the latest kept point,
 which is what makes this quick.
 
-Bands of the signature give buckets. Within a bucket candidates are checked
-against one pivot, then against 4, 16, ... further pivots, but only between
-members that no link has joined yet, until none are left to compare. Each pair
-is verified by its exact multiset overlap. Links are joined into classes by
+Bands of the signature give buckets. A bucket's members are compared with one
+pivot, then with its most typical member; members that then still share a bucket
+with another class are joined exactly, by their rarest shingles and the places of
+these. Each pair is verified by its exact multiset overlap. Links are joined into classes by
 alternating star operations. Equal word sequences are one text throughout.
 
 Defined results: words are split at ASCII white space, A-Z lowered; a text of
@@ -234,33 +234,93 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
     return mapped(sides, run, "a binary, b binary")
 
 
+def tokens(texts: DataFrame, words: int) -> DataFrame:
+    """(key, token, n) for the shingles of each text; the second copy of a
+    shingle is a token of its own, so that multisets become sets of n tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                bags = [shingles.bag(fold(raw)) for raw in raw_texts(part.column(1))]
+                found = []
+                for hashes, counts in bags:
+                    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    found.append(_mix(np.repeat(hashes, counts) + nth.astype(np.uint64) * _GOLD))
+                sizes = np.array([len(t) for t in found])
+                at = np.repeat(np.arange(len(found)), sizes)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(np.concatenate(found).view(np.int64)), pa.array(sizes[at])], names=["key", "token", "n"])
+
+    return mapped(texts.select("key", "text"), run, "key binary, token long, n long")
+
+
+def prefixes(texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(key, token, n, place, typical): the rarest tokens of each text, enough of
+    them that two texts without a common one cannot be similar; `place` counts
+    from 1 and `typical` tells how common the text's tokens are."""
+    every = cut(tokens(texts, words), "tokens")
+    frequency = every.groupBy("token").agg(F.count("*").alias("texts"))
+    order, whole = Window.partitionBy("key").orderBy("texts", "token"), Window.partitionBy("key")
+    placed = (every.join(frequency, "token").withColumn("place", F.row_number().over(order))
+              .withColumn("typical", F.avg(F.log("texts")).over(whole)))
+    return cut(placed.filter(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).select("key", "token", "n", "place", "typical"), "prefixes")
+
+
+def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts with different labels that may be similar.
+
+    A pair needs `need` common tokens. At their first common token, with places
+    i and j, at most min(n - i, n' - j) more can follow. Only pairs of a text
+    outside of a token's largest class are formed, so a large class costs one
+    row for each text and not one for each pair.
+    """
+    largest = rows.groupBy("token", "label").agg(F.count("*").alias("texts")).groupBy("token").agg(F.max_by("label", F.struct("texts", "label")).alias("largest"), F.count("*").alias("labels"))
+    mixed = cut(rows.join(largest.filter("labels > 1").select("token", "largest"), "token"), "mixed")
+    one, other = mixed.filter("label <> largest").alias("x"), mixed.alias("y")
+    need = F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    possible = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need
+    return (one.join(other, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & possible)
+            .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct())
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
 def links(rows: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Classes (key, label) of the distinct texts of `rows` that have a link."""
+    """Classes (key, label) of the distinct texts of `rows` that have a link.
+
+    Every bucket is first compared with one pivot. Members of buckets that are
+    not of one class then, are compared with the most typical member of their
+    bucket, such as the source of many copies. What still shares a bucket with
+    another class is joined by its rarest shingles, which misses no pair.
+    """
     distinct = rows.groupBy("key").agg(F.min("row").alias("row"), F.min_by("bands", "row").alias("bands"))
     bucket = distinct.select("key", F.explode("bands").alias("bucket"))
-    shared = bucket.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    shared = bucket.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
     members = cut(bucket.join(shared, "bucket"), "members")
     texts = cut(rows.select("key", "row", "text").join(members.select("key").distinct(), "key").groupBy("key").agg(F.min_by("text", "row").alias("text")), "texts")
-    labels, found, pivots = None, None, 1
-    while True:
-        marked = members.withColumn("label", F.col("key")) if labels is None else members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        if labels is not None:
-            undecided = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-            marked = cut(marked.join(undecided, "bucket"), "members")
-            if marked.isEmpty():
-                return labels
-        if pivots == 1:
-            centre = marked.groupBy("bucket").agg(F.min("key").alias("pivot"), F.min_by("label", "key").alias("pivot_label"))
-        else:
-            order = Window.partitionBy("bucket").orderBy("key")
-            centre = marked.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= pivots).select("bucket", F.col("key").alias("pivot"), F.col("label").alias("pivot_label"))
-        pairs = (marked.join(centre, "bucket").filter("key <> pivot and label <> pivot_label")
-                 .select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct())
+
+    def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
+        marked = _labelled(members.select("bucket", "key"), labels)
+        mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+        return cut(marked.join(mixed, "bucket"), "undecided")
+
+    def joined(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
         new = verified(pairs, texts, similarity, words)
-        found = new if found is None else labels.select(F.col("key").alias("a"), F.col("label").alias("b")).union(new)
-        labels = components(found)
-        members = cut(marked.select("bucket", "key").join(centre.select("bucket", F.col("pivot").alias("key")), ["bucket", "key"], "left_anti"), "members")
-        pivots *= 4
+        return components(new if labels is None else labels.select(F.col("key").alias("a"), F.col("label").alias("b")).union(new))
+
+    pivot = members.groupBy("bucket").agg(F.min("key").alias("pivot"))
+    labels = joined(members.join(pivot, "bucket").filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), None)
+    members = undecided(members, labels)
+    rare = prefixes(texts.join(members.select("key").distinct(), "key"), similarity, words)
+    typical = rare.groupBy("key").agg(F.max("typical").alias("typical"))
+    pivot = members.join(typical, "key").groupBy("bucket").agg(F.max_by(F.struct(F.col("key").alias("pivot"), F.col("label").alias("pivot_label")), F.struct("typical", "key")).alias("p")).select("bucket", "p.*")
+    labels = joined(members.join(pivot, "bucket").filter("label <> pivot_label").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), labels)
+    members = undecided(members, labels)
+    left = rare.join(members.select("key", "label").distinct(), "key")
+    return joined(prefix_pairs(left, similarity), labels)
 
 
 def classes(docs: DataFrame, row: str = "doc_id", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

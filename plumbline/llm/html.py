@@ -222,10 +222,11 @@ def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
     """Per page its main text, blocks joined by an empty line."""
     parts = parsed(pages)
     repeated = templates(parts, least_pages, least_share)
-    inner = parts.select("row", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
+    inside = F.array_distinct(F.flatten("around"))
+    inner = parts.select("row", "host", F.explode(inside).alias("subtree"))
     deleted = inner.join(repeated, ["host", "subtree"]).groupBy("row").agg(F.collect_list("subtree").alias("deleted"))
-    gone = F.coalesce(F.col("deleted"), F.array().cast("array<long>"))
-    blocks = F.filter(F.arrays_zip("texts", "around"), lambda b: ~F.arrays_overlap(b["around"], gone))
-    text = F.array_join(F.transform(blocks, lambda b: b["texts"]), "\n\n")
-    return (parts.select("row", "page_id", "url", "texts", "around").join(deleted, "row", "left")
-            .select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long")))
+    blocks = F.filter(F.arrays_zip("texts", "around"), lambda b: ~F.arrays_overlap(b["around"], F.coalesce(F.col("deleted"), F.array().cast("array<long>"))))
+    plain = parts.filter(F.size(inside) == 0).select("page_id", "url", F.array_join("texts", "\n\n").alias("text"))     # nothing to look up
+    others = (parts.filter(F.size(inside) > 0).select("row", "page_id", "url", "texts", "around").join(deleted, "row", "left")
+              .select("page_id", "url", F.array_join(F.transform(blocks, lambda b: b["texts"]), "\n\n").alias("text")))
+    return plain.union(others).withColumn("n_chars", F.length("text").cast("long"))

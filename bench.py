@@ -23,6 +23,7 @@ HEADLINES = [
     "class_balance", "vif_three", "associations", "leakage_number_target", "pca_variance", "kmeans_clusters", "f_classif", "chi2_feature",
     "histogram", "kde_curve_events", "count_bars", "regression_line", "violin_summary", "grouped_counts", "findings_statistics",
     "merge_turns", "parse_responses", "recommendations", "scan_csv", "sample_rows", "table_fingerprint", "knn_graph_vectors", "umap_weights",
+    "tsne", "umap", "analyze_supervised", "analyze_unsupervised",
 ]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from itertools import combinations
 
@@ -54,7 +55,7 @@ class _Run:
 
 def _profile(run: _Run) -> None:
     by = [k for k, kind in families(run.df).items() if kind != "nested"]
-    run.put("preview", lambda: preview(run.df, run.keys or by))
+    run.put("preview", lambda: preview(run.df, by))
     stats = run.put("dataset_stats", lambda: profile.dataset_stats(run.df, run.original_rows))
     columns = run.put("column_profile", lambda: profile.column_profile(run.df, run.settings))
     run.findings += [findings.dataset_findings(stats, run.settings), findings.column_findings(columns, run.settings)]
@@ -196,6 +197,13 @@ def steps_to_run(steps: list[str] | None, task: str) -> list[str]:
     return [s for s in STEPS if s in wanted and not (task == "unsupervised" and s == "target")]
 
 
+def _version(make: Callable) -> str:
+    """A digest of a function's own code: a changed extra step is not served from the store."""
+    code = getattr(make, "__code__", None)
+    said = repr(make) if code is None else repr((code.co_code, code.co_names, [c for c in code.co_consts if not hasattr(c, "co_code")]))
+    return hashlib.sha256(said.encode()).hexdigest()[:16]
+
+
 def analyze(df: DataFrame, task: str = "supervised", target: str | None = None, mode: str = "full", steps: list[str] | None = None,
             keys: list[str] | None = None, extra_steps: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None,
             settings: Settings = DEFAULTS, title: str = "Table Analysis", layouts: tuple[str, ...] = LAYOUTS,
@@ -244,7 +252,7 @@ def analyze(df: DataFrame, task: str = "supervised", target: str | None = None,
             run.findings.append(findings.finding(spark, step, "ERROR", "step_failed", f"Step {step} failed: {error}"))
     for name, make in (extra_steps or {}).items():
         try:
-            run.tables[name] = cut(make(dict(run.tables)), name)        # never from the store: its function may have changed
+            run.tables[name] = save(f"{name}-{_version(make)}", lambda make=make: make(dict(run.tables)))
         except Exception as error:
             run.findings.append(findings.finding(spark, name, "ERROR", "step_failed", f"Step {name} failed: {error}"))
     run.tables["findings"] = cut(findings.merge_findings(spark, run.findings), "findings")

@@ -40,8 +40,8 @@ class Stretch(InputPartition):
 class ArrowReader(DataSourceReader):
     """One task per file; a large file is cut into stretches of record batches."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, schema):
+        self.path, self.schema = path, schema
 
     def partitions(self):
         import pyarrow as pa
@@ -60,7 +60,10 @@ class ArrowReader(DataSourceReader):
         with open_file(part.path) as handle:
             reader = pa.ipc.open_file(handle)
             for i in range(part.first, reader.num_record_batches if part.last is None else part.last):
-                yield reader.get_batch(i)
+                batch = reader.get_batch(i)
+                there = set(batch.schema.names)
+                columns = [batch.column(f.name).cast(f.type) if f.name in there else pa.nulls(batch.num_rows, f.type) for f in self.schema]
+                yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
 
 class ArrowFiles(DataSource):
@@ -68,14 +71,21 @@ class ArrowFiles(DataSource):
     def name(cls):
         return "plumbline_arrow"
 
-    def schema(self):
+    def _union(self):
+        """The columns of all files, in the order they are met; numbers of one column take the wider type."""
         import pyarrow as pa
-        from pyspark.sql.pandas.types import from_arrow_schema
-        first = files_under(self.options["path"], (".feather", ".arrow"))
-        if not first:
+        found = files_under(self.options["path"], (".feather", ".arrow"))
+        if not found:
             raise InputError(f"there are no Arrow files under '{self.options['path']}'")
-        with open_file(first[0][0]) as handle:
-            return from_arrow_schema(pa.ipc.open_file(handle).schema)
+        schemas = []
+        for path, _ in found:
+            with open_file(path) as handle:
+                schemas.append(pa.ipc.open_file(handle).schema.remove_metadata())
+        return pa.unify_schemas(schemas, promote_options="permissive")
+
+    def schema(self):
+        from pyspark.sql.pandas.types import from_arrow_schema
+        return from_arrow_schema(self._union())
 
     def reader(self, schema):
-        return ArrowReader(self.options["path"])
+        return ArrowReader(self.options["path"], self._union())

@@ -88,6 +88,18 @@ def sheet_rows(path: str):
                 yield row
 
 
+def column_names(header: list[str | None]) -> list[str]:
+    """A name for every column: nameless ones by place, repeated ones by number."""
+    names: list[str] = []
+    for i, name in enumerate(header):
+        base = name or f"column_{i}"
+        name, n = base, 2
+        while name in names:
+            name, n = f"{base}_{n}", n + 1
+        names.append(name)
+    return names
+
+
 class WorkbookReader(DataSourceReader):
     def __init__(self, path: str, names: list[str]):
         self.path, self.names = path, names
@@ -97,7 +109,7 @@ class WorkbookReader(DataSourceReader):
 
     def read(self, part):
         rows = sheet_rows(part.path)
-        header = next(rows, [])
+        header = column_names(next(rows, []))
         at = [header.index(n) if n in header else None for n in self.names]
         for row in rows:
             if any(v is not None for v in row):
@@ -105,14 +117,17 @@ class WorkbookReader(DataSourceReader):
 
 
 class Workbooks(DataSource):
+    """The columns are those of all files together, in the order they are met."""
+
     @classmethod
     def name(cls):
         return "plumbline_workbooks"
 
     def schema(self):
-        found = files_under(self.options["path"], (".xlsx",))
-        header = next(sheet_rows(found[0][0]), []) if found else []
-        return T.StructType([T.StructField(name or f"column_{i}", T.StringType()) for i, name in enumerate(header)])
+        names: dict[str, None] = {}
+        for path, _ in files_under(self.options["path"], (".xlsx",)):
+            names.update(dict.fromkeys(column_names(next(sheet_rows(path), []))))
+        return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
     def reader(self, schema):
         return WorkbookReader(self.options["path"], schema.names)

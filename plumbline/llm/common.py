@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import ship
+from plumbline.session import scratch_path, ship
 
 ship(__name__)
 
@@ -39,6 +39,13 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return df.mapInArrow(lambda batches: fn(small(batches)), schema)
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """`df` written to the shared scratch folder, tightly packed, and read again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def like(df: DataFrame) -> T.StructType:
     """The schema of `df` with every column nullable."""
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])

@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mapped
+from plumbline.llm.common import kept, mapped
 from plumbline.llm.urls import host_of
-from plumbline.session import cut, ship
+from plumbline.session import ship
 
 ship(__name__)
 
@@ -206,7 +206,7 @@ def parsed(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["row", "page_id", "url", "host", "digest", "texts", "around", "subtrees"])
 
     wanted = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), F.col("url").cast("string"), host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
-    return cut(mapped(wanted, run, "row long, page_id long, url string, host string, digest long, texts array<string>, around array<array<long>>, subtrees array<long>"), "parsed")
+    return kept(mapped(wanted, run, "row long, page_id long, url string, host string, digest long, texts array<string>, around array<array<long>>, subtrees array<long>"), "parsed")
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mapped, raw_texts
+from plumbline.llm.common import kept, mapped, raw_texts
 from plumbline.session import cut, ship
 
 ship(__name__)
@@ -187,7 +187,7 @@ def signed(docs: DataFrame, row: str, words: int, bands: int, rows: int) -> Data
                 start = end
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["row", "text", "key", "bands"])
 
-    return cut(mapped(docs.select(F.col(row).cast("long").alias("row"), "text"), run, "row long, text string, key binary, bands array<long>"), "signed")
+    return kept(mapped(docs.select(F.col(row).cast("long").alias("row"), "text"), run, "row long, text string, key binary, bands array<long>"), "signed")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -336,6 +336,6 @@ def classes(docs: DataFrame, row: str = "doc_id", similarity: float = SIMILARITY
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """`docs` with one row of each class, the first in input order."""
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    numbered = kept(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     first = classes(numbered, "__row", similarity, words).filter("__row = class_id").select("__row")
     return numbered.join(first, "__row", "left_semi").select(*docs.columns)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mapped, raw_texts
+from plumbline.llm.common import kept, mapped, raw_texts
 from plumbline.session import cut, ship
 
 ship(__name__)
@@ -42,7 +42,7 @@ ship(__name__)
 #: Bytes of context; a byte string of depth + 1 bytes must fit 63 bits with room.
 DEPTH = 3
 #: Text bytes of a chunk (one longer text is a chunk of its own).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 #: Ends a text, and stands before its first byte; no UTF-8 text holds it.
 EDGE = 0xFF
 #: Stands for the end token among the words.
@@ -75,7 +75,7 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int64())], names=["doc_id", "text", "held_out", "chunk"])
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    return cut(mapped(docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held_out")), run, "doc_id long, text string, held_out boolean, chunk long"), "chunked")
+    return kept(mapped(docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held_out")), run, "doc_id long, text string, held_out boolean, chunk long"), "chunked")
 
 
 def tallies(rows: DataFrame, depth: int) -> DataFrame:
@@ -132,7 +132,7 @@ def tallies(rows: DataFrame, depth: int) -> DataFrame:
             settle()
             yield from emit(chunk, words, others, grams)
 
-    return cut(mapped(rows, run, "chunk long, word binary, gram long, n long"), "tallies")
+    return kept(mapped(rows, run, "chunk long, word binary, gram long, n long"), "tallies")
 
 
 def _tally(chunk: int, words, grams, n) -> pa.RecordBatch:

@@ -1,7 +1,6 @@
 """Registered queries: scans of every format, sampling, fingerprints, stored results."""
 
 import io
-import os
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -18,6 +17,7 @@ from plumbline.operators import profile
 from plumbline.session import scratch_path, ship
 from plumbline.settings import DEFAULTS
 from plumbline.sources import store, tables
+from plumbline.sources.arrow import create_file
 
 ship(__name__)
 
@@ -39,13 +39,12 @@ def _orders_csv(spark, d, sep=","):
 def write_arrow(df):
     """One Arrow file per task."""
     folder = scratch_path(df.sparkSession, "arrow")
-    os.makedirs(folder, exist_ok=True)
 
     def save(batches):
         batches = list(batches)
         if batches:
             name = f"{folder}/part-{TaskContext.get().partitionId()}.feather"
-            with pa.ipc.new_file(name, batches[0].schema) as sink:
+            with create_file(name) as out, pa.ipc.new_file(out, batches[0].schema) as sink:
                 for batch in batches:
                     sink.write_batch(batch)
             yield pa.RecordBatch.from_pydict({"name": [name]})
@@ -85,10 +84,9 @@ def _sheet(frame: pd.DataFrame) -> bytes:
 def write_workbooks(df, by):
     """One workbook per value of `by`, a column of few rows per value."""
     folder = scratch_path(df.sparkSession, "workbooks")
-    os.makedirs(folder, exist_ok=True)
 
     def save(key, frame):
-        with open(f"{folder}/{key[0]}.xlsx", "wb") as sink:
+        with create_file(f"{folder}/{key[0]}.xlsx") as sink:
             sink.write(_sheet(frame.drop(columns=[by])))
         return pd.DataFrame({"name": [str(key[0])]})
 

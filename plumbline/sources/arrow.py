@@ -32,6 +32,14 @@ def open_file(path: str):
     return system.open_input_file(root)
 
 
+def create_file(path: str):
+    """A new file, with its folders, wherever the path points."""
+    from pyarrow import fs
+    system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system.create_dir(root.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(root)
+
+
 class Stretch(InputPartition):
     def __init__(self, path: str, first: int, last: int | None):
         self.path, self.first, self.last = path, first, last

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
 from plumbline.operators.frequencies import row_digest
+from plumbline.session import ship
 from plumbline.settings import Settings
+from plumbline.sources.arrow import open_file
+
+ship(__name__)
+
+RANGE_BYTES = 64 * 1024 * 1024
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
@@ -35,15 +41,37 @@ def row_digests(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(files, bytes, fingerprint): SHA-256 over the ordered digests of the files.
+    """(files, bytes, fingerprint) of the files' names and contents.
 
-    Spark reads each file as one cell, which bounds a file at 2 GB; use
-    `table_fingerprint` beyond that.
+    Files are read in ranges of RANGE_BYTES by any number of tasks, so that
+    their size does not matter. A file's digest is that of its ordered range
+    digests; files are told apart by their place below `path`, and their hashes
+    are summed, so no list of all files is formed.
     """
-    files = spark.read.format("binaryFile").load(path)
-    digests = files.select(F.regexp_extract("path", r"[^/]*$", 0).alias("name"), "length", F.sha2("content", 256).alias("digest"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("name", "digest"))), lambda x: x["digest"])
-    return digests.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(ordered, ""), 256).alias("fingerprint"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length")          # contents are not read
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long")))
+    ranges = files.select("path", "length", starts.alias("start")).repartition("path", "start")
+
+    def digests(batches):
+        import pyarrow as pa
+        for batch in batches:
+            found = []
+            for name, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+                uri = name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name
+                with open_file(uri) as handle:
+                    handle.seek(start)
+                    found.append(hashlib.sha256(handle.read(RANGE_BYTES)).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["path", "length", "start", "digest"])
+
+    each = ranges.mapInArrow(digests, "path string, length long, start long, digest string")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "digest"))), lambda x: x["digest"])
+    root = path.rstrip("/").split("*", 1)[0].split("://")[-1]
+    place = F.regexp_replace(F.substring_index("path", root, -1), "^/", "")
+    whole = each.groupBy("path", "length").agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest"))
+    hashes = whole.select("length", F.xxhash64(place, "length", "digest").alias("h"))
+    sums = hashes.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"),
+                      F.coalesce(F.bit_xor("h"), F.lit(0)).cast("string").alias("xor"))
+    return sums.select("files", "bytes", F.sha2(F.concat_ws("|", F.col("files").cast("string"), "sum", "xor"), 256).alias("fingerprint"))
 
 
 def settings_fingerprint(settings: Settings) -> str:

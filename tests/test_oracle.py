@@ -14,7 +14,8 @@ FOLDER = "/root/testdata/sf0.001"
 SHORT = ["column_profile_part", "column_profile_missing", "duplicate_rows", "quantiles", "date_number_probe", "pick_target_events",
          "outliers_modified_z", "spearman_missing", "cramers_v_orders", "anova_f", "column_pairs", "class_balance", "vif_three", "impute_median",
          "pca_variance_two", "f_classif", "histogram", "kde_curve_events", "violin_summary", "grouped_counts", "findings_profile", "merge_turns",
-         "recommendations", "retry_queue", "scan_csv", "scan_arrow", "sample_rows", "row_digests", "knn_graph"]
+         "recommendations", "retry_queue", "scan_csv", "scan_arrow", "sample_rows", "row_digests", "knn_graph",
+         "scan_csv_long_ids", "sample_rows_repeated", "table_fingerprint_missing", "histogram_far_values"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SHORT
 
 

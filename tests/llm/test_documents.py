@@ -248,6 +248,12 @@ def test_scores_are_those_of_the_definition(spark, docs):
     assert scoring.scored(fx.empty(spark)).count() == 0
 
 
+def test_held_out_texts_are_coded_better_than_by_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 3000")
+    score, base = scoring.scored(docs).filter("held_out").selectExpr("sum(score)", "sum(base_score)").first()
+    assert score > base
+
+
 def test_sharding_is_even_and_gapless(spark, docs):
     more = [fx.prose(40 + i % 30, 100 + i) for i in range(600)]
     rows = [(i, t) for i, t in enumerate(more)] + [(i, "the same text " * 20) for i in range(600, 1200)] + [(None, None), (3, "")]

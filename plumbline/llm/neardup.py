@@ -296,11 +296,11 @@ def links(rows: DataFrame, similarity: float, words: int) -> DataFrame:
     bucket, such as the source of many copies. What still shares a bucket with
     another class is joined by its rarest shingles, which misses no pair.
     """
-    distinct = rows.groupBy("key").agg(F.min("row").alias("row"), F.min_by("bands", "row").alias("bands"))
+    distinct = rows.groupBy("key").agg(F.min("row").alias("row"), F.any_value("bands").alias("bands"))
     bucket = distinct.select("key", F.explode("bands").alias("bucket"))
     shared = bucket.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
     members = cut(bucket.join(shared, "bucket"), "members")
-    texts = cut(rows.select("key", "row", "text").join(members.select("key").distinct(), "key").groupBy("key").agg(F.min_by("text", "row").alias("text")), "texts")
+    texts = cut(rows.select("key", "row", "text").join(members.select("key").distinct(), "key").groupBy("key").agg(F.any_value("text").alias("text")), "texts")
 
     def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
         marked = _labelled(members.select("bucket", "key"), labels)

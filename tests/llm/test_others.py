@@ -85,6 +85,16 @@ def test_classes_are_those_of_all_pairs(spark):
     assert neardup.classes(fx.empty(spark)).count() == 0
 
 
+def test_rows_without_an_id_link_like_others(spark):
+    chain, near = chain_of_texts(), fx.prose(200, 41)
+    rows = [(None if i == 5 else i, t) for i, t in enumerate(chain)]                       # the null id is a bridge
+    rows += [(None, near), (30, near + " more"), (None, fx.prose(200, 42)), (None, fx.prose(200, 42) + " more"), (None, fx.prose(90, 43))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(map(tuple, neardup.classes(docs).collect()), key=str)
+    assert found == brute_classes(rows)
+    assert found.count((None, 0)) == 1 and (None, 30) in found
+
+
 def test_one_row_of_each_class_stays(spark):
     docs = fx.documents(spark)
     kept = neardup.keep_one(docs)

@@ -150,6 +150,38 @@ def test_the_index_finds_what_full_alignment_finds():
     assert hits > 40 and found >= 0.9 * hits
 
 
+def test_edited_notices_are_found_as_by_full_alignment():
+    index, rng = licenses.Index(), random.Random(9)
+    hits = 0
+    for template, (name, _, text) in enumerate(index.templates):
+        for _ in range(6):
+            words = licenses.fold(text.encode()).split()
+            for _ in range(max(1, len(words) // 6)):
+                at, edit = rng.randrange(len(words)), rng.randrange(3)
+                words[at:at + (edit != 1)] = [b"edited"] * (edit < 2)
+            if edit == 1 and len(words) > 30:
+                words[len(words) // 2:len(words) // 2] = [b"inserted"] * 12
+            words = [b"before"] * 4 + words + [b"after"] * 4
+            share = 1.0 if name.startswith("spdx-") else licenses.COVERAGE
+            if edit_free_coverage(index, words, template) >= share:
+                hits += 1
+                assert any(t == template and index.aligned(words, t, low, high, share * len(index.words[t]) - 1e-9) for t, low, high in index.candidates(words)), (name, words)
+    assert hits > 100
+
+
+def test_short_and_further_notices_are_found():
+    index = licenses.Index()
+    licenses_of = lambda text: sorted({index.templates[m[0]][1] for m in index.matches(licenses.fold(text.encode()).split())})
+    assert licenses_of("x Released under MIT License. y") == ["MIT"]
+    assert licenses_of("Copyright 2020 Someone. All rights reserved.") == ["all-rights-reserved"]
+    assert licenses_of("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0"]
+    assert licenses_of("This work is licensed under the GNU General Public License, version 3.") == ["GPL-3.0"]
+    assert licenses_of("This work is licensed under the GNU Affero General Public License, version 3.") == ["AGPL-3.0"]
+    assert licenses_of("Licensed under CC BY-NC-SA 3.0.") == ["CC-BY-NC-SA-3.0"] and licenses_of("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0"]
+    assert licenses_of("# SPDX-License-Identifier: MIT") == ["MIT"] and licenses_of("SPDX-License-Identifier: MPL-2.0") == ["MPL-2.0"]
+    assert licenses_of("SPDX-License-Identifier: Foo-2.0") == []
+
+
 PARTS = ["</s>", "<s>", "[INST]", "[/INST]", "[BOT]", "<<SYS>>", "<</SYS>>", "[ROLE=x]", "[ROLE=", "]", "[/ROLE]", "\\", "\\\\", " ", "\n", "text", "é", "[", "<"]
 
 

@@ -48,7 +48,7 @@ SLICES = 256
 SLICE_CHARS = 512
 LEVEL = 6
 #: Bytes encoded at a time.
-BLOCK = 8192
+BLOCK = 2048
 #: Margins below this are narrow.
 NARROW = 0.02
 UNKNOWN = "und"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col, normalise_missing
 from plumbline.session import InputError, cut
+from plumbline.sources.delimited import read_delimited
 
 # Texts that stand for a missing cell in delimited files.
 MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
@@ -66,12 +67,12 @@ def _spans_lines(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Header row, quoted cells, inferred types, missing-value texts as NULL.
 
-    Files are split between tasks unless a quoted cell really spans lines.
+    Files are split between tasks, whether or not quoted cells span lines.
     """
-    reader = spark.read.option("header", True).option("sep", sep or detect_delimiter(spark, path)).option("quote", '"').option("escape", '"')
+    sep = sep or detect_delimiter(spark, path)
     if _spans_lines(spark, path):
-        reader = reader.option("multiLine", True)
-    return typed_text(reader.csv(path))
+        return typed_text(read_delimited(spark, path, sep))
+    return typed_text(spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path))
 
 
 def typed_text(raw: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ each.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
@@ -14,10 +13,10 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import as_number, col, families, known, numbers, quoted
+from plumbline.functions.columns import as_number, col, families, known, numbers
 from plumbline.functions.tails import chi2_sf, f_sf, t_sf
 from plumbline.operators.frequencies import melt
-from plumbline.operators.ordering import average_ranks
+from plumbline.operators.ranking import missing_masks, numbered_rows, rank_correlations
 from plumbline.settings import DEFAULTS, Settings
 
 CAT_NUM, CAT_CAT, NUM_NUM = "categorical_numerical", "categorical_categorical", "numerical_numerical"
@@ -191,57 +190,38 @@ def _number(x) -> float | None:
     return None if x is None or x != x else max(-1.0, min(1.0, float(x)))
 
 
-def ranked_rows(wide: DataFrame, cols: list[str]) -> DataFrame:
-    """The rows with every value replaced by its average rank.
+def _ranked_sides(rows: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """What has to be ranked for the pairs, and each pair as two of these sides.
 
-    Ranks belong to distinct values and are joined back by value. A value
-    shared by very many rows is a skewed join key with a single match, which
-    adaptive execution splits.
-    """
-    ranks = average_ranks(wide, cols)
-    out = wide.select(*[col(c) for c in cols])
-    for i, c in enumerate(cols):
-        of_column = ranks.where(F.col("column_name") == c).select(F.col("value").alias(f"v{i}"), F.col("avg_rank").alias(f"r{i}"))
-        out = out.join(of_column, F.col(quoted(c)) == F.col(f"v{i}")).drop(f"v{i}", c)
-    return out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(cols)])
-
-
-def _spearman_apart(wide: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple]:
-    """(a, b, rho, n) of pairs ranked over their own complete rows; one job ranks all of them."""
-    if not pairs:
-        return []
-    sides = {}
-    for i, (a, b) in enumerate(pairs):
-        both = col(a).isNotNull() & col(b).isNotNull()
-        sides |= {f"{i}a": F.when(both, col(a)), f"{i}b": F.when(both, col(b))}
-    ranks = average_ranks(wide.select(*[e.alias(n) for n, e in sides.items()]), list(sides))
-    parts = []
-    for i, (a, b) in enumerate(pairs):
-        of = lambda side, i=i: ranks.where(F.col("column_name") == f"{i}{side}").select(F.col("value").alias(f"v{side}"), F.col("avg_rank").alias(f"r{side}"))
-        joined = (wide.select(col(a).alias("a"), col(b).alias("b")).dropna()
-                  .join(of("a"), F.col("a") == F.col("va")).join(of("b"), F.col("b") == F.col("vb")))
-        parts.append(joined.agg(F.lit(i).alias("i"), _corr(F.col("ra"), F.col("rb")).alias("rho"), F.count(F.lit(1)).alias("n")))
-    found = {r["i"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
-    return [(a, b, _number(found[i]["rho"]) if found[i]["n"] >= 2 else None, found[i]["n"]) for i, (a, b) in enumerate(pairs)]
+    A side is a column over the rows where it and its partner have values;
+    partners with the same missing rows share it."""
+    masks = missing_masks(rows, cols, {c: col(c) for c in cols})
+    standing = {m: c for c, m in reversed(masks.items()) if m}          # a column for every set of missing rows
+    sides: dict[tuple, int] = {}
+    places = [tuple(sides.setdefault((c, frozenset(x for x in (masks[a], masks[b]) if x)), len(sides)) for c in (a, b)) for a, b in pairs]
+    wanted = []
+    for (c, missing), i in sides.items():
+        value = col(c)
+        for m in missing:
+            value = F.when(col(standing[m]).isNotNull(), value)
+        wanted.append(value.alias(f"s{i}"))
+    return rows.select("row", *wanted), places
 
 
 def spearman(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """(col_a, col_b, value, p_value, n) over the complete rows of each pair.
 
-    Columns without missing cells share one set of ranks. Fewer than two
-    complete rows give 0 without a p-value; an undefined rho is 0.
+    All columns are ranked by one shuffle, see `ranking`; columns with the same
+    missing rows share their ranks. Fewer than two complete rows give 0 without
+    a p-value; an undefined rho is 0.
     """
     pairs = pairs or list(combinations(cols, 2))
-    wide = numbers(df, cols)
-    counts = wide.agg(F.count(F.lit(1)).alias("rows"), *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    full = [c for i, c in enumerate(cols) if counts[f"n{i}"] == counts["rows"]]
-    rows = []
-    shared = [p for p in pairs if p[0] in full and p[1] in full]
-    if shared:
-        together = list(dict.fromkeys(c for p in shared for c in p))
-        rho = pearson(ranked_rows(wide, together), together) if counts["rows"] >= 2 else {}
-        rows += [(a, b, rho.get((a, b), rho.get((b, a))), counts["rows"]) for a, b in shared]
-    rows += _spearman_apart(wide, [p for p in pairs if p not in shared])
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    short = {c: f"c{i}" for i, c in enumerate(cols)}
+    rows = numbered_rows(numbers(df, cols).toDF(*short.values()))
+    sides, places = _ranked_sides(rows, list(short.values()), [(short[a], short[b]) for a, b in pairs])
+    rho = rank_correlations(sides, list(dict.fromkeys(places)))
+    rows = [(a, b, *rho[p]) for (a, b), p in zip(pairs, places)]
     found = df.sparkSession.createDataFrame(rows, "col_a string, col_b string, rho double, n bigint")
     rho, dof = F.col("rho"), F.col("n") - 2
     t = F.when(F.abs(rho) < 1, rho * F.sqrt(dof / ((1 - rho) * (1 + rho)))).when(rho.isNotNull(), F.lit(float("inf")))

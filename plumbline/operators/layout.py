@@ -1,32 +1,31 @@
 """Two-dimensional layouts of a neighbour graph: t-SNE and UMAP.
 
-Both iterate in Spark over tables of edges and positions. Positions are
-written after every round, so a round starts from a table of known size (which
-lets Spark broadcast small ones by itself) and no lineage builds up. Random
-choices are hashes of keys, so a run repeats exactly.
+Both are laws of force that `descent` applies block by block: edges of the graph
+pull exactly, all other points push, those of other blocks as quadtree cells.
+Positions start from the principal components and a hash of the key, so a run
+repeats exactly.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
+from plumbline.operators.descent import BLOCK, Block, settle
+from plumbline.operators.forest import knn_graph_approximate
 from plumbline.operators.neighbours import knn_graph
-from plumbline.operators.ordering import running_counts
 from plumbline.operators.reduce import pca_embedding
-from plumbline.session import Rewritten, cut, ship
+from plumbline.session import cut, ship
 from plumbline.settings import DEFAULTS, Settings
 
 ship(__name__)
 
 STEPS = 64                # halvings of each bandwidth search
 EXAGGERATION = 12.0
-CELL = 0.5                # width of an interpolation interval
-MOST_NODES = 1024         # interpolation nodes per axis
-NEGATIVES = 10            # repelling samples per point and round
+TSNE_ROUNDS = 25          # rounds between exchanges; the layout barely changes with fewer
+UMAP_ROUNDS = 10
 REPEL_RATE = 5.0
 LEAST_SIGMA = 1e-3
 
@@ -105,117 +104,81 @@ def umap_weights(graph: DataFrame, neighbours: int) -> DataFrame:
     return cut(sides.select("id", "neighbour", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("weight")), "fuzzy")
 
 
-def _edge_ends(edges: DataFrame, positions: DataFrame) -> DataFrame:
-    here = positions.select("id", F.col("x").alias("x1"), F.col("y").alias("y1"))
-    there = positions.select(F.col("id").alias("neighbour"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return edges.join(there, "neighbour").join(here, "id")
+def started(ready: DataFrame, cols: list[str] | str, key: str, extent: float, noise: float, by_spread: bool) -> DataFrame:
+    """(id and STATE): the first two components, scaled, with a little noise that
+    tells equal rows apart. `by_spread`: `extent` is the deviation, else the reach."""
+    scores = pca_embedding(ready, cols, [key], ("x", "y"))
+    scores = scores.withColumns({c: F.lit(0.0) for c in "xy" if c not in scores.columns})
+    size = F.stddev_pop("x") if by_spread else F.max(F.greatest(F.abs("x"), F.abs("y")))
+    scale = extent / (scores.agg(size).first()[0] or 1.0)
+    shaken = [(F.col(c) * scale + F.xxhash64(col(key), F.lit(c)) / 2.0 ** 63 * noise).alias(c) for c in "xy"]
+    return scores.select(col(key).alias("id"), *shaken, *[F.lit(0.0).alias(c) for c in ("vx", "vy")], *[F.lit(1.0).alias(c) for c in ("gx", "gy")], F.lit(0.0).alias("z"))
 
 
-# --- t-SNE ---------------------------------------------------------------------------
-
-# Quadratic interpolation weights on nodes at 1/6, 1/2 and 5/6 of an interval.
-NODE_WEIGHTS = ["({t} - 1D / 2) * ({t} - 5D / 6) * 4.5D", "({t} - 1D / 6) * ({t} - 5D / 6) * -9D", "({t} - 1D / 6) * ({t} - 1D / 2) * 4.5D"]
-
+def _graph(ready: DataFrame, cols: list[str] | str, key: str, k: int, exact: bool) -> DataFrame:
+    return cut((knn_graph if exact else knn_graph_approximate)(ready, cols, key, k), "knn")
 
-def _node_weights(t: np.ndarray):
-    return (t - 1 / 2) * (t - 5 / 6) * 4.5, (t - 1 / 6) * (t - 5 / 6) * -9.0, (t - 1 / 6) * (t - 1 / 2) * 4.5
 
+def exchanges(rounds: int, each: int) -> list[int]:
+    """Rounds between exchanges, adding up to `rounds`."""
+    return [each] * (rounds // each) + ([rounds % each] if rounds % each else [])
 
-def _charges(positions: DataFrame, width: float) -> pd.DataFrame:
-    """Point mass and moments gathered on the nodes of a regular grid, occupied nodes only."""
-    axis = lambda c: {f"i{c}": f"floor({c} / {width})", f"t{c}": f"{c} / {width} - floor({c} / {width})"}
-    placed = positions.selectExpr("x", "y", *[f"{e} AS {n}" for c in "xy" for n, e in axis(c).items()])
-    nodes = ", ".join(f"struct(ix * 3 + {i} AS i, iy * 3 + {j} AS j, ({NODE_WEIGHTS[i].format(t='tx')}) * ({NODE_WEIGHTS[j].format(t='ty')}) AS c)"
-                      for i in range(3) for j in range(3))
-    sums = placed.selectExpr("x", "y", f"inline(array({nodes}))").groupBy("i", "j").agg(
-        F.expr("sum(c) AS c"), F.expr("sum(c * x) AS cx"), F.expr("sum(c * y) AS cy"))
-    return sums.toPandas()           # bounded by the grid; see below
 
+# --- t-SNE ---------------------------------------------------------------------------
 
-def repulsion_field(positions: DataFrame):
-    """The repelling field on a grid of at most MOST_NODES x MOST_NODES nodes.
-
-    Sums over all points become a convolution of the node charges with the
-    kernel, done by FFT on the driver; its size depends on the extent of the
-    layout and never on the number of points. Published as FIt-SNE.
-    """
-    width = CELL
-    while True:
-        grid = _charges(positions, width)
-        i0, j0 = int(grid["i"].min()), int(grid["j"].min())
-        shape = (int(grid["i"].max()) - i0 + 1, int(grid["j"].max()) - j0 + 1)
-        if max(shape) <= MOST_NODES:
-            break
-        width *= 2
-    at = (grid["i"].to_numpy() - i0, grid["j"].to_numpy() - j0)
-    charges = np.zeros((3, *shape))
-    for layer, name in enumerate(("c", "cx", "cy")):
-        charges[layer][at] = grid[name]
-    full = (2 * shape[0], 2 * shape[1])
-    h = width / 3
-    di = np.minimum(np.arange(full[0]), full[0] - np.arange(full[0])) * h
-    dj = np.minimum(np.arange(full[1]), full[1] - np.arange(full[1])) * h
-    near = 1 / (1 + di[:, None] ** 2 + dj[None, :] ** 2)
-    transformed = np.fft.rfft2(charges, full)
-    back = lambda kernel, layer: np.fft.irfft2(np.fft.rfft2(kernel) * transformed[layer], full)[: shape[0], : shape[1]]
-    total = float((back(near, 0) * charges[0]).sum())
-    field = np.stack([back(near ** 2, layer) for layer in range(3)])
-    return field, (i0, j0), width, total
-
-
-def _repelled(positions: DataFrame, rows: int) -> DataFrame:
-    """Positions with rx, ry: the normalised repelling force."""
-    field, (i0, j0), width, total = repulsion_field(positions)
-    shared = positions.sparkSession.sparkContext.broadcast(field)
-    norm = max(total - rows, 1e-12)
-
-    def force(batches):
-        for frame in batches:
-            x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
-            fx, fy = np.floor(x / width), np.floor(y / width)
-            wx, wy = _node_weights(x / width - fx), _node_weights(y / width - fy)
-            i, j = (fx * 3 - i0).astype(int), (fy * 3 - j0).astype(int)
-            value = sum(wx[a] * wy[b] * shared.value[:, i + a, j + b] for a in range(3) for b in range(3))
-            frame["rx"], frame["ry"] = (x * value[0] - value[1]) / norm, (y * value[0] - value[2]) / norm
-            yield frame
-
-    schema = ", ".join(f"{n} {t}" for n, t in positions.dtypes) + ", rx double, ry double"
-    return positions.mapInPandas(force, schema)
-
-
-def _descend(edges: DataFrame, positions: DataFrame, rows: int, exaggeration: float, momentum: float, rate: float) -> DataFrame:
-    ends = _edge_ends(edges, positions)
-    dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
-    pull = F.col("weight") / (1 + dx * dx + dy * dy)
-    pulled = ends.groupBy("id").agg(F.sum(pull * dx).alias("ax"), F.sum(pull * dy).alias("ay"))
-    moved = _repelled(positions, rows).join(pulled, "id", "left")
-    out = {"id": F.col("id")}
-    for c in "xy":
-        slope = 4 * (exaggeration * F.coalesce(f"a{c}", F.lit(0.0)) - F.col(f"r{c}"))
-        same = F.col(f"v{c}") * slope >= 0
-        gain = F.greatest(F.lit(0.01), F.when(same & (F.col(f"v{c}") != 0), F.col(f"g{c}") * 0.8).otherwise(F.col(f"g{c}") + F.when(F.col(f"v{c}") != 0, 0.2).otherwise(0.0)))
-        step = momentum * F.col(f"v{c}") - rate * gain * slope
-        out |= {c: F.col(c) + step, f"v{c}": step, f"g{c}": gain}
-    return moved.select(*[e.alias(n) for n, e in out.items()])
-
-
-def tsne(ready: DataFrame, cols: list[str], key: str, settings: Settings = DEFAULTS, iterations: int | None = None) -> DataFrame:
-    """(key, tsne1, tsne2) of prepared columns, starting from their principal components."""
+class Attraction:
+    """Student-t forces: edges pull, all points push, in a share of their total."""
+
+    def __init__(self, rows: int, early: int, total: float):
+        self.early, self.rate = early, max(rows / EXAGGERATION / 4, 50.0)
+        self.total = total if total > 0 else rows * max(rows - 1.0, 1.0)           # at first all points are in one place
+
+    def run(self, own: Block, turn: int, rounds: int) -> np.ndarray:
+        y, speed, gain, z = own.state[:, 0:2].copy(), own.state[:, 2:4].copy(), own.state[:, 4:6].copy(), own.state[:, 6].copy()
+        first = None
+        for i in range(turn, turn + rounds):
+            push, z = repulsion(y, own.cells)
+            # the total changes as this block's part of it does
+            first = z.sum() if first is None else first
+            total = max(self.total * z.sum() / first if first > 0 else self.total, 1e-12)
+            gap = own.pulls(y)
+            pull = own.per_point((own.weight / (1 + (gap * gap).sum(1)))[:, None] * gap)
+            slope = 4 * ((EXAGGERATION if i < self.early else 1.0) * pull - push / total)
+            moving = speed != 0
+            gain = np.maximum(0.01, np.where(moving & (speed * slope >= 0), gain * 0.8, gain + np.where(moving, 0.2, 0.0)))
+            speed = (0.5 if i < self.early else 0.8) * speed - self.rate * gain * slope
+            y = y + speed
+        return np.column_stack([y, speed, gain, z])
+
+
+def repulsion(y: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of kernel^2 x gap over all other points, and of the kernel, per point."""
+    size = (y * y).sum(1)
+    kernel = 1 / (1 + np.maximum(0.0, size[:, None] + size[None, :] - 2 * y @ y.T))
+    np.fill_diagonal(kernel, 0.0)
+    square = kernel * kernel
+    push, z = square.sum(1)[:, None] * y - square @ y, kernel.sum(1)
+    if len(cells):
+        count, centre = cells[:, 0], cells[:, 1:]
+        far = (centre * centre).sum(1)
+        kernel = 1 / (1 + np.maximum(0.0, size[:, None] + far[None, :] - 2 * y @ centre.T))
+        square = kernel * kernel * count
+        push, z = push + square.sum(1)[:, None] * y - square @ centre, z + kernel @ count
+    return push, z
+
+
+def tsne(ready: DataFrame, cols: list[str] | str, key: str, settings: Settings = DEFAULTS, iterations: int | None = None, exact: bool = False, block: int = BLOCK) -> DataFrame:
+    """(key, tsne1, tsne2) of prepared columns, starting from their principal components.
+
+    `exact` takes the exact neighbours instead of the approximate ones."""
     rows = ready.count()
     perplexity = min(settings.tsne_perplexity, max(1.0, (rows - 1) / 3.1))
-    graph = cut(knn_graph(ready, cols, key, max(1, min(rows - 1, int(3 * perplexity + 1)))), "knn")
-    edges = cut(tsne_affinities(graph, perplexity), "edges")
-    start = pca_embedding(ready, cols, [key], ("x", "y"))
-    spread = start.agg(F.stddev_pop("x")).first()[0] or 1.0
-    positions = Rewritten(start.select(col(key).alias("id"), *[(F.col(c) / spread * 1e-4).alias(c) for c in "xy"],
-                                 *[F.lit(0.0).alias(c) for c in ("vx", "vy")], *[F.lit(1.0).alias(c) for c in ("gx", "gy")]), "positions")
+    edges = cut(tsne_affinities(_graph(ready, cols, key, max(1, min(rows - 1, int(3 * perplexity + 1))), exact), perplexity), "edges")
     rounds = settings.tsne_iterations if iterations is None else iterations
     early = min(250, rounds // 4)
-    rate = max(rows / EXAGGERATION / 4, 50.0)
-    for i in range(rounds):
-        first = i < early
-        positions.write(_descend(edges, positions.df, rows, EXAGGERATION if first else 1.0, 0.5 if first else 0.8, rate))
-    return positions.df.select(F.col("id").alias(key), F.col("x").alias("tsne1"), F.col("y").alias("tsne2"))
+    schedule = exchanges(early, TSNE_ROUNDS) + exchanges(rounds - early, TSNE_ROUNDS)
+    placed = settle(edges, started(ready, cols, key, 1e-4, 1e-6, True), rows, lambda total: Attraction(rows, early, total), schedule, block)
+    return placed.select(F.col("id").alias(key), F.col("x").alias("tsne1"), F.col("y").alias("tsne2"))
 
 
 # --- UMAP ----------------------------------------------------------------------------
@@ -238,43 +201,51 @@ def curve_parameters(min_dist: float, spread: float = 1.0) -> tuple[float, float
     return float(a), float(b)
 
 
-def _bounded(c):
-    return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
+class Membership:
+    """Fuzzy-set forces: edges pull in proportion to their weight, the average other point pushes."""
+
+    def __init__(self, rows: int, rounds: int, a: float, b: float):
+        self.others, self.rounds, self.a, self.b = max(1, rows - 1), rounds, a, b
+
+    def pushes(self, gap: np.ndarray) -> np.ndarray:
+        d2 = (gap * gap).sum(-1)
+        force = 2.0 * self.b / ((0.001 + d2) * (1 + self.a * np.maximum(d2, 1e-12) ** self.b))
+        return np.clip(force[..., None] * gap, -4.0, 4.0)
 
+    def run(self, own: Block, turn: int, rounds: int) -> np.ndarray:
+        y = own.state[:, 0:2].copy()
+        n, a, b = len(y), self.a, self.b
+        share = own.weight / np.maximum(np.bincount(own.of, own.weight, n)[own.of], 1e-300)
+        count, centre = own.cells[:, 0], own.cells[:, 1:]
+        for i in range(turn, turn + rounds):
+            gap = own.pulls(y)
+            d2 = np.maximum((gap * gap).sum(1), 1e-12)
+            force = -2.0 * a * b * d2 ** (b - 1) / (1 + a * d2 ** b)
+            pull = own.per_point(share[:, None] * np.clip(force[:, None] * gap, -4.0, 4.0))
+            push = self.pushes(y[:, None, :] - y[None, :, :]).sum(1)
+            if len(count):
+                push += np.einsum("ncd,c->nd", self.pushes(y[:, None, :] - centre[None, :, :]), count)
+            y = y + 0.25 * (1 - i / self.rounds) * (2 * pull + REPEL_RATE * push / self.others)
+        return np.column_stack([y, own.state[:, 2:]])
 
-def _attract_repel(edges: DataFrame, positions: DataFrame, rows: int, turn: int, alpha: float, a: float, b: float, seed: int) -> DataFrame:
-    dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
-    d2 = dx * dx + dy * dy
-    near = F.greatest(d2, F.lit(1e-12))
-    pull = -2.0 * a * b * F.pow(near, b - 1) / (1 + a * F.pow(near, b))
-    attracted = (_edge_ends(edges, positions).groupBy("id")
-                 .agg(*[(F.sum(F.col("weight") * _bounded(pull * d)) / F.sum("weight")).alias(n) for n, d in (("px", dx), ("py", dy))]))
-    # Samples are drawn by place in the order of keys, which is dense.
-    picks = F.transform(F.sequence(F.lit(0), F.lit(NEGATIVES - 1)), lambda j: F.pmod(F.xxhash64("place", j, F.lit(turn), F.lit(seed)), F.lit(rows)))
-    drawn = (positions.select("id", "place", F.col("x").alias("x1"), F.col("y").alias("y1"), F.explode(picks).alias("other"))
-             .where(F.col("other") != F.col("place"))
-             .join(positions.select(F.col("place").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2")), "other"))
-    push = 2.0 * b / ((0.001 + d2) * (1 + a * F.pow(near, b)))
-    repelled = drawn.groupBy("id").agg(*[F.avg(_bounded(push * d)).alias(n) for n, d in (("qx", dx), ("qy", dy))])
-    moved = positions.join(attracted, "id", "left").join(repelled, "id", "left")
-    step = lambda c: alpha * (2 * F.coalesce(f"p{c}", F.lit(0.0)) + REPEL_RATE * F.coalesce(f"q{c}", F.lit(0.0)))
-    return moved.select("id", "place", *[(F.col(c) + step(c)).alias(c) for c in "xy"])
 
+def umap(ready: DataFrame, cols: list[str] | str, key: str, settings: Settings = DEFAULTS, rounds: int = 200, exact: bool = False, block: int = BLOCK) -> DataFrame:
+    """(key, umap1, umap2) of prepared columns, starting from their principal components.
 
-def umap(ready: DataFrame, cols: list[str], key: str, settings: Settings = DEFAULTS, rounds: int = 200) -> DataFrame:
-    """(key, umap1, umap2) of prepared columns, starting from their principal components."""
+    `exact` takes the exact neighbours instead of the approximate ones."""
     rows = ready.count()
     neighbours = max(2, min(settings.umap_neighbours, rows - 1))
     # A point counts as its own first neighbour.
-    graph = cut(knn_graph(ready, cols, key, neighbours - 1), "knn")
-    edges = umap_weights(graph, neighbours)
-    a, b = curve_parameters(settings.umap_min_dist)
-    start = pca_embedding(ready, cols, [key], ("x", "y"))
-    reach = start.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 1.0
-    scaled = start.select(col(key).alias("id"), F.lit(1).alias("n"), *[(F.col(c) * 10 / reach).alias(c) for c in "xy"], F.lit(0).alias("all"))
-    placed = running_counts(scaled, ["all"], ["id"]).select("id", F.col("before").alias("place"), "x", "y")
-    positions = Rewritten(placed, "positions")
-    for turn in range(rounds):
-        alpha = 0.25 * (1 - turn / rounds)
-        positions.write(_attract_repel(edges, positions.df, rows, turn, alpha, a, b, settings.sample_seed))
-    return positions.df.select(F.col("id").alias(key), F.col("x").alias("umap1"), F.col("y").alias("umap2"))
+    edges = umap_weights(_graph(ready, cols, key, neighbours - 1, exact), neighbours)
+    law = Membership(rows, rounds, *curve_parameters(settings.umap_min_dist))
+    placed = settle(edges, started(ready, cols, key, 10.0, 1e-4, False), rows, law, exchanges(rounds, UMAP_ROUNDS), block)
+    return placed.select(F.col("id").alias(key), F.col("x").alias("umap1"), F.col("y").alias("umap2"))
+
+
+def preserved(graph: DataFrame, placed: DataFrame, key: str) -> DataFrame:
+    """One row: points, and the share of their neighbours in `graph` that are
+    among as many nearest points of the layout `placed` (key and two columns)."""
+    k = graph.agg(F.max("rank")).first()[0] or 1
+    flat = knn_graph(placed, [c for c in placed.columns if c != key], key, k).select("id", "neighbour", F.lit(1).alias("kept"))
+    return graph.join(flat, ["id", "neighbour"], "left").agg(
+        F.countDistinct("id").alias("points"), F.avg(F.coalesce("kept", F.lit(0))).alias("share"))

@@ -11,6 +11,8 @@ Distances are compared at nine decimals and ties go to the smaller key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -150,16 +152,27 @@ def _distinct_neighbours(points: DataFrame, k: int, key_type: str) -> DataFrame:
     return _best(found, k).select("query", "neighbour", "distance")
 
 
-def knn_graph(ready: DataFrame, cols: list[str], key: str, k: int) -> DataFrame:
-    """(id, neighbour, rank, distance): the k nearest other rows of every row."""
+def knn_graph(ready: DataFrame, cols: list[str] | str, key: str, k: int) -> DataFrame:
+    """(id, neighbour, rank, distance): the k nearest other rows of every row.
+
+    `cols`: numerical columns, or the name of one array column."""
+    return graph_of(ready, cols, key, k, _distinct_neighbours)
+
+
+def graph_of(ready: DataFrame, cols: list[str] | str, key: str, k: int, between: Callable[[DataFrame, int, str], DataFrame]) -> DataFrame:
+    """The graph of all rows by a search `between` points that all differ."""
     key_type = dict(ready.dtypes)[key]
-    rows = cut(ready.select(col(key).alias("id"), F.array(*[col(c).cast("double") + F.lit(0.0) for c in cols]).alias("vector")), "points")
+    if isinstance(cols, str):
+        vector = F.transform(col(cols).cast("array<double>"), lambda x: x + F.lit(0.0))
+    else:
+        vector = F.array(*[col(c).cast("double") + F.lit(0.0) for c in cols])
+    rows = cut(ready.select(col(key).alias("id"), vector.alias("vector")), "points")
     # Of equal points only the k + 1 smallest keys can be anyone's neighbours.
     copies = Window.partitionBy("vector").orderBy("id")
     members = (rows.withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1)
                .groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members")))
     members = cut(members.select(F.col("members")[0].alias("id"), "vector", "members"), "distinct")
-    apart = _distinct_neighbours(members.select("id", "vector"), k, key_type)
+    apart = between(members.select("id", "vector"), k, key_type)
     near = (apart.join(members.select(F.col("id").alias("neighbour"), "members"), "neighbour")
             .select(F.col("query").alias("first"), F.explode("members").alias("id"), "distance"))
     own = members.select(F.col("id").alias("first"), F.explode("members").alias("id"), F.lit(0.0).alias("distance"))

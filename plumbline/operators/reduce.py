@@ -81,7 +81,7 @@ def pca_fit(ready: DataFrame, cols: list[str], components: int = DEFAULTS.pca_co
     a driver-side step of that size. Each component points to its largest loading.
     """
     rows = ready.select(F.lit(1)).limit(components).count()
-    k = min(components, rows, len(cols))
+    k = min(components, rows, len(cols)) if rows > 1 else 0          # one row has no variance
     if k == 0:
         return [], np.zeros((len(cols), 0))
     vectors = VectorAssembler(inputCols=cols, outputCol="v").transform(ready.select(*[col(c) for c in cols])).select("v")

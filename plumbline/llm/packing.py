@@ -19,6 +19,7 @@ import sys
 import zlib
 from array import array
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,46 +140,50 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
     return cut(mapped(docs.select(F.col("doc_id").cast("long"), "text"), pieces, schema), "pieces")
 
 
-def undominated(filling: list[int], waste: int, left: np.ndarray) -> bool:
-    """False if a length that is still to be had could replace one or two
-    lengths of `filling` (or none) and use more of the waste."""
-    options = {0, *filling, *(a + b for i, a in enumerate(filling) for b in filling[:i])}
+def undominated(filling: list[tuple[int, int]], waste: int, left: np.ndarray) -> bool:
+    """False if a length that is still to be had could replace one or two pieces
+    of `filling` (length and count; or no piece) and use more of the waste."""
+    ones = [x for x, _ in filling]
+    options = {0, *ones, *(a + b for i, a in enumerate(ones) for b in ones[:i]), *(2 * x for x, n in filling if n > 1)}
     return not any(left[low + 1:low + waste + 1].any() for low in options if low < len(left) - 1)
 
 
 def fillings(left: np.ndarray, room: int, most: int) -> list[tuple[int, list[int]]]:
     """Undominated ways to fill `room` with the lengths counted in `left`, by
-    waste, larger lengths first; the search ends at a filling without waste."""
+    waste, larger lengths first; the search ends at a filling without waste.
+
+    A step takes one length as often as it fits, then once less and so on; so
+    there are as many steps in a row as different lengths fit into a sequence,
+    however many pieces do.
+    """
     lengths = np.flatnonzero(left[:room + 1]).tolist()
-    found: list[tuple[int, list[int]]] = []
+    found: list[tuple[int, list[tuple[int, int]]]] = []
     steps = 0
 
-    def extend(chosen: list[int], room: int, upto: int) -> bool:
+    def extend(chosen: list[tuple[int, int]], room: int, upto: int) -> bool:
         nonlocal steps
         steps += 1
         at = min(bisect_right(lengths, room), upto)
         if at == 0:
+            for x, n in chosen:
+                left[x] -= n
             if undominated(chosen, room, left):
                 found.append((room, list(chosen)))
+            for x, n in chosen:
+                left[x] += n
             return room == 0 or len(found) >= most or steps > 64 * most
-        least_failed = True
         for i in range(at - 1, max(-1, at - 1 - most), -1):
             x = lengths[i]
-            if left[x]:
-                least_failed = False
-                left[x] -= 1
-                chosen.append(x)
-                done = extend(chosen, room - x, i + 1)
+            for n in range(min(int(left[x]), room // x), 0, -1):
+                chosen.append((x, n))
+                done = extend(chosen, room - n * x, i)
                 chosen.pop()
-                left[x] += 1
                 if done:
                     return True
-        if least_failed:
-            found.append((room, list(chosen)))
-        return len(found) >= most or steps > 64 * most
+        return False
 
     extend([], room, len(lengths))
-    return sorted(found, key=lambda f: (f[0], [-x for x in f[1]]))
+    return sorted(((waste, [x for x, n in chosen for _ in range(n)]) for waste, chosen in found), key=lambda f: (f[0], [-x for x in f[1]]))
 
 
 def least_bins(counts: np.ndarray, capacity: int) -> int:
@@ -220,7 +225,7 @@ def plan_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = SEARCH_
         left[largest] += 1
         for unused, filling in options:
             pattern = (largest, *filling)
-            repeat = min(int(left[x]) // pattern.count(x) for x in set(pattern))
+            repeat = min(int(left[x]) // n for x, n in Counter(pattern).items())
             yield unused, pattern, repeat
 
     stack: list[Iterator] = []
@@ -273,8 +278,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]
     rows, base = [], 0
     for pattern, repeat in patterns:
         at = 0
-        for length in sorted(set(pattern), reverse=True):
-            each = pattern.count(length)
+        for length, each in sorted(Counter(pattern).items(), reverse=True):
             rank = taken.get(length, 0)
             rows.append((length, rank, each, base, at))
             taken[length] = rank + each * repeat

@@ -131,6 +131,31 @@ def test_bin_completion_meets_the_bound_on_many_pieces():
     assert sum(n for _, n in patterns) == packing.least_bins(counts, 4096)
 
 
+@pytest.mark.parametrize("sizes", [[1] * 10_000, [4] * 3000 + [5] * 3000 + [6] * 3000, [3] * 5000 + [2000] * 10])
+def test_thousands_of_tiny_pieces_share_sequences(sizes):
+    counts = np.bincount(sizes, minlength=4097)
+    patterns = packing.plan_bins(counts, nodes=200)
+    used = collections.Counter()
+    for pattern, n in patterns:
+        assert sum(pattern) <= 4096
+        used.update({x: k * n for x, k in collections.Counter(pattern).items()})
+    assert used == collections.Counter(sizes) and sum(n for _, n in patterns) == packing.least_bins(counts, 4096)
+
+
+def test_fillings_are_those_of_all_subsets():
+    """Every undominated filling of small rooms is found, by the definition of dominance."""
+    rng = random.Random(2)
+    for _ in range(60):
+        left = np.bincount([rng.randint(1, 9) for _ in range(rng.randint(1, 7))], minlength=21)
+        room = rng.randint(1, 20)
+        sizes = [x for x in range(21) for _ in range(left[x])]
+        subsets = {tuple(sorted((s for i, s in enumerate(sizes) if mask >> i & 1), reverse=True)) for mask in range(1 << len(sizes))}
+        best = max(sum(s) for s in subsets if sum(s) <= room)
+        found = packing.fillings(left.copy(), room, 1000)
+        assert all(sum(f) + waste == room and tuple(f) in subsets for waste, f in found)
+        assert found[0][0] == room - best and len({tuple(f) for _, f in found}) == len(found)
+
+
 def brute_matches(text, items, window=10):
     words = decontamination.fold(text.encode()).split()
     windows = collections.defaultdict(set)

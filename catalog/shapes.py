@@ -26,6 +26,12 @@ def gappy_keyed(spark, d):
 GAPPY_PART = "(SELECT p_partkey, nullif(p_size, 10) AS size, CASE WHEN p_size > 5 THEN p_retailprice END AS price, p_type, p_brand FROM part)"
 
 
+def grouped_part(spark, d):
+    """Parts in four groups far apart, by two bits of their size."""
+    return table(spark, d, "part").select("p_partkey", (F.col("p_size") % 2 * 100).alias("x"),
+                                          (F.floor(F.col("p_size") / 2) % 2 * 100 + F.col("p_retailprice") / 10_000).alias("y"))
+
+
 def labelled(spark, d):
     """Line items with missing numbers and categories, labelled by return flag."""
     return table(spark, d, "lineitem").select(
@@ -101,6 +107,7 @@ QUERIES = {
     "pca_embedding_two": lambda spark, d: rounded(reduce.pca_embedding(
         reduce.prepared(table(spark, d, "orders"), ["o_totalprice", "o_custkey"], ["o_orderkey"]), ["o_totalprice", "o_custkey"], ["o_orderkey"])
         .select("o_orderkey", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2")), 4),
+    "kmeans_separated_groups": lambda spark, d: cluster.kmeans_clusters(grouped_part(spark, d), ["x", "y"], ["p_partkey"]),
     "kmeans_clusters": lambda spark, d: cluster.kmeans_clusters(embedded(spark, d), EMBED, ["vec_id"]),
     "kmeans_cluster_sizes": lambda spark, d: cluster.kmeans_clusters(table(spark, d, "part"), ["p_size", "p_retailprice"], ["p_partkey"])
         .groupBy("cluster").agg(F.count("*").alias("n")),
@@ -133,6 +140,7 @@ QUERIES = {
 _STD = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
 
 ORACLES = {
+    "kmeans_separated_groups": "SELECT p_partkey, CAST(p_size % 2 * 2 + (p_size // 2) % 2 AS INTEGER) AS cluster FROM part",
     "select_features": f"""SELECT column_name, u + CAST(k < n AS INTEGER) <= 1 AS is_constant FROM ({_stats_sql('lineitem')})
  WHERE inferred_type = 'numerical' AND column_name <> 'l_quantity'""",
     "impute_median": f"SELECT p_partkey, {r(f'coalesce(size, (SELECT median(size) FROM {GAPPY_PART}))')} AS size, {r(f'coalesce(price, (SELECT median(price) FROM {GAPPY_PART}))')} AS price FROM {GAPPY_PART}",

@@ -18,6 +18,14 @@ def finding(spark: SparkSession, module: str, level: str, rule: str, message: st
     return spark.createDataFrame([(module, level, rule, column, None, None, message)], SCHEMA)
 
 
+def no_target_for_hue(spark: SparkSession, target: str | None = None) -> DataFrame:
+    return finding(spark, "charts", "INFO", "no_target_for_hue", "There is no target to colour the charts by; clusters are used.")
+
+
+def target_missing_for_hue(spark: SparkSession, target: str | None) -> DataFrame:
+    return finding(spark, "charts", "WARNING", "target_missing_for_hue", f"The table has no column '{target}', the target; the charts are coloured by clusters.")
+
+
 def _rows(source: DataFrame, module: str, rule: str, when: Column, column: Column, metric: Column, threshold, message: Column,
           level: str = "WARNING") -> DataFrame:
     return source.where(when).select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_number, col, families, known, numbers
-from plumbline.operators.frequencies import melt, value_frequencies
+from plumbline.operators.frequencies import Frequencies, melt, value_frequencies
 from plumbline.operators.ordering import quantile_values
 from plumbline.settings import DEFAULTS, Settings
 
@@ -106,10 +106,10 @@ def kde_curve(df: DataFrame, cols: list[str], points: int = CURVE_POINTS, cut: f
         (F.coalesce("mass", F.lit(0.0)) / (F.col("rows") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
-def count_bars(df: DataFrame, cols: list[str], bars: int = DEFAULTS.bars) -> DataFrame:
-    """(column_name, place, value, count): the most frequent categories."""
+def count_bars(df: DataFrame, cols: list[str], bars: int = DEFAULTS.bars, values: Frequencies | None = None) -> DataFrame:
+    """(column_name, place, value, count): the most frequent categories, from `values` if they are counted already."""
     ranked = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    return (value_frequencies(df, cols).withColumn("place", F.row_number().over(ranked))
+    return ((value_frequencies(df, cols) if values is None else values.values(cols)).withColumn("place", F.row_number().over(ranked))
             .where(F.col("place") <= bars).select("column_name", "place", "value", F.col("n").alias("count")))
 
 

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import (DATED, as_number, col, families, footprint, known, micros, parsed_date,
                                          parsed_number)
-from plumbline.operators.frequencies import distinct_counts, duplicate_rows, value_frequencies
-from plumbline.operators.ordering import quantile_values
+from plumbline.operators.frequencies import Frequencies, distinct_counts, duplicate_rows, value_frequencies
+from plumbline.operators.ordering import FEW_VALUES, quantile_values
 from plumbline.settings import DEFAULTS, Settings
 
 MB = 1024 * 1024
-COLUMNS_PER_SCAN = 4   # keeps one aggregation in compiled code; every scan reads only its own columns
 
 
 def adjusted_skew(raw: Column, n: Column) -> Column:
@@ -30,56 +29,43 @@ def skewness(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
 
 
-def _one_column(name: str, kind: str, dtype, ordinal: int) -> Column:
-    """Every single-pass statistic of a column, packed into one struct."""
+def _one_cell(name: str, kind: str, dtype, slot: int) -> Column:
+    """What the statistics need of a cell, alike for all kinds of columns."""
     c = known(name, kind)
-    present = F.count(c)
-    no_number, no_time = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
-    summary = [no_number] * 5
-    dates = [no_time, no_time, F.lit(None).cast("bigint")]
-    is_date = is_number = F.lit(None).cast("boolean")
+    number, moment = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
     if kind in ("whole", "fraction", "decimal"):
-        x = as_number(name, kind)
-        summary = [F.avg(x), F.stddev_samp(x), F.min(x), F.max(x), adjusted_skew(F.skewness(x), F.count(x))]
+        number = as_number(name, kind)
     if kind == "text":
-        x, moment = F.col(f"_number{ordinal}"), F.col(f"_moment{ordinal}")
-        is_date = F.count(moment) == present
-        # A spelled-out NaN is a number too, though a missing one.
-        is_number = F.count(x) == present
-        clean = F.when(~F.isnan(x), x)
-        summary = [F.avg(clean), F.stddev_samp(clean), F.min(clean), F.max(clean), adjusted_skew(F.skewness(clean), F.count(clean))]
-        dates = [F.min(moment), F.max(moment), F.count(moment)]
+        number, moment = parsed_number(col(name)), parsed_date(col(name))
     if kind in DATED:
         moment = c.cast("timestamp_ntz")
-        dates = [F.min(moment), F.max(moment), F.count(moment)]
-    if kind == "interval":
-        dates = [no_time, no_time, present]
-    values = dict(zip(("mean", "std", "min", "max", "skewness"), summary))
-    values |= dict(zip(("first", "last", "date_count"), dates))
-    return F.struct(
-        F.lit(name).alias("column_name"), F.lit(ordinal).alias("ordinal"),
-        F.lit(dtype.simpleString()).alias("dtype"), F.lit(kind).alias("family"),
-        F.count(F.lit(1)).alias("row_count"), present.alias("present_count"),
-        F.coalesce(F.sum(footprint(name, kind, dtype)), F.lit(0)).alias("bytes"),
-        *[v.alias(k) for k, v in values.items()],
-        is_date.alias("is_date"), is_number.alias("is_number"))
+    return F.struct(F.lit(slot).alias("slot"), c.isNotNull().alias("present"), footprint(name, kind, dtype).cast("bigint").alias("bytes"),
+                    number.cast("double").alias("number"), moment.cast("timestamp_ntz").alias("moment"))
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """Single-pass statistics, one row per column. No rows are shuffled."""
+    """Single-pass statistics, one row per column.
+
+    Cells of all columns pass through one aggregation by column number, so the
+    table is scanned once, however wide it is; only sums are shuffled.
+    """
     kinds = families(df)
-    parts = []
-    for start in range(0, len(df.columns), COLUMNS_PER_SCAN):
-        fields = df.schema.fields[start:start + COLUMNS_PER_SCAN]
-        entries = [_one_column(f.name, kinds[f.name], f.dataType, start + i) for i, f in enumerate(fields)]
-        # Texts are parsed once per row, below the aggregation.
-        parsed = [e for i, f in enumerate(fields) if kinds[f.name] == "text" for e in (
-            parsed_number(col(f.name)).alias(f"_number{start + i}"), parsed_date(col(f.name)).alias(f"_moment{start + i}"))]
-        parts.append(df.select(*[col(f.name) for f in fields], *parsed).agg(F.array(*entries).alias("e")).select(F.inline("e")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    cells = F.explode(F.array(*[_one_cell(f.name, kinds[f.name], f.dataType, i) for i, f in enumerate(df.schema.fields)]))
+    # A spelled-out NaN is a number too, though a missing one.
+    x = F.when(~F.isnan("number"), F.col("number"))
+    found = df.select(cells.alias("cell")).select("cell.*").groupBy("slot").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("present").alias("filled"), F.sum("bytes").alias("size"),
+        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), adjusted_skew(F.skewness(x), F.count(x)).alias("skewness"),
+        F.min("moment").alias("first"), F.max("moment").alias("last"), F.count("moment").alias("moments"), F.count("number").alias("numbers"))
+    names = [(i, f.name, f.dataType.simpleString(), kinds[f.name]) for i, f in enumerate(df.schema.fields)]
+    every = df.sparkSession.createDataFrame(names, "slot int, column_name string, dtype string, family string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    is_text, filled = F.col("family") == "text", zero("filled")
+    dates = F.when(is_text | F.col("family").isin(*DATED), zero("moments")).when(F.col("family") == "interval", filled)
+    return every.join(found, "slot", "left").select(
+        "column_name", F.col("slot").alias("ordinal"), "dtype", "family", zero("rows").alias("row_count"), filled.alias("present_count"), zero("size").alias("bytes"),
+        "mean", "std", "min", "max", "skewness", "first", "last", dates.alias("date_count"),
+        F.when(is_text, zero("moments") == filled).alias("is_date"), F.when(is_text, zero("numbers") == filled).alias("is_number"))
 
 
 def storage_footprint(df: DataFrame) -> DataFrame:
@@ -146,10 +132,12 @@ def type_rule(settings: Settings = DEFAULTS) -> Column:
             .otherwise("text"))
 
 
-def typed_stats(df: DataFrame, settings: Settings = DEFAULTS, approximate: bool = False) -> DataFrame:
+def typed_stats(df: DataFrame, settings: Settings = DEFAULTS, approximate: bool = False, values: Frequencies | None = None) -> DataFrame:
     stats = column_stats(df)
     flat = [c for c, k in families(df).items() if k != "nested"]
-    if approximate:
+    if values is not None:
+        counts = values.distinct()
+    elif approximate:
         counts = unique_values(df, flat, approximate=True).drop("unique_pct")
     else:
         counts = distinct_counts(df, flat)
@@ -171,13 +159,13 @@ def light_profile(df: DataFrame, settings: Settings = DEFAULTS, approximate: boo
         unique.alias("unique_count"), (unique / rows).alias("unique_pct"), F.when(F.col("inferred_type") == "numerical", F.col("skewness")).alias("skewness"))
 
 
-def category_summary(df: DataFrame, cols: list[str], top: int = 5) -> DataFrame:
+def category_summary(df: DataFrame, cols: list[str], top: int = 5, values: Frequencies | None = None) -> DataFrame:
     """(column_name, top, frequency, top_values): the most frequent values.
 
     Ties go to the smaller value. A column without values reports N/A and 0.
     """
     ranked = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
-    best = (value_frequencies(df, cols)
+    best = ((value_frequencies(df, cols) if values is None else values.values(cols))
             .withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= top)
             .groupBy("column_name")
             .agg(F.sort_array(F.collect_list(F.struct("place", "value", "n"))).alias("v")))
@@ -203,10 +191,13 @@ def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
         "column_name", "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
-def _quartiles(df: DataFrame, cols: list[str], distinct: dict[str, int] | None = None) -> DataFrame:
-    values = quantile_values(df, cols, [0.25, 0.5, 0.75], distinct) if cols else {}
+def _quartiles(df: DataFrame, cols: list[str], distinct: dict[str, int] | None = None, values: Frequencies | None = None) -> DataFrame:
+    probs = [0.25, 0.5, 0.75]
+    found = values.quantiles(cols, probs, FEW_VALUES) if values is not None else {}
+    rest = [c for c in cols if c not in found]
+    found |= quantile_values(df, rest, probs, distinct) if rest else {}
     return df.sparkSession.createDataFrame(
-        [(c, *values[c]) for c in cols], "column_name string, q25 double, median double, q75 double")
+        [(c, *found[c]) for c in cols], "column_name string, q25 double, median double, q75 double")
 
 
 def date_range(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -223,14 +214,18 @@ def constant_columns(df: DataFrame) -> DataFrame:
     return distinct_counts(df, df.columns).where("unique_count = 1").select("column_name")
 
 
-def column_profile(df: DataFrame, settings: Settings = DEFAULTS, approximate: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, settings: Settings = DEFAULTS, approximate: bool = False, values: Frequencies | None = None) -> DataFrame:
     """One wide row per column, with the statistics its logical type calls for.
 
     The types decide which columns need value counts and which need quartiles,
-    so they are collected first: one row per column.
+    so they are collected first: one row per column. Unless `approximate`, all
+    of it but the quartiles of columns with many values comes from two scans:
+    the statistics, and the table of frequencies (`values`, if there is one already).
     """
     df = df.sparkSession.createDataFrame([], df.schema) if not df.columns else df
-    typed = typed_stats(df, settings, approximate).collect()
+    if values is None and not approximate:
+        values = Frequencies(df, [c for c, k in families(df).items() if k != "nested"])
+    typed = typed_stats(df, settings, approximate, values).collect()
     schema = typed_schema(df)
     stats = df.sparkSession.createDataFrame(typed, schema)
     kind_of = {r["column_name"]: r["inferred_type"] for r in typed}
@@ -238,12 +233,12 @@ def column_profile(df: DataFrame, settings: Settings = DEFAULTS, approximate: bo
     measures = [c for c, k in kind_of.items() if k == "numerical"]
     profile = stats
     if categories:
-        profile = profile.join(category_summary(df, categories), "column_name", "left")
+        profile = profile.join(category_summary(df, categories, values=values), "column_name", "left")
     else:
         profile = profile.selectExpr("*", "CAST(NULL AS STRING) AS top", "CAST(NULL AS BIGINT) AS frequency",
                                      "CAST(NULL AS ARRAY<STRUCT<value:STRING,count:BIGINT>>) AS top_values")
     distinct = {r["column_name"]: r["unique_count"] for r in typed}
-    profile = profile.join(F.broadcast(_quartiles(df, measures, distinct)), "column_name", "left")   # one row per column
+    profile = profile.join(F.broadcast(_quartiles(df, measures, distinct, values)), "column_name", "left")   # one row per column
     numeric, dated = F.col("inferred_type") == "numerical", F.col("inferred_type") == "datetime"
     rows = F.nullif(F.col("row_count"), F.lit(0))
     total = sum(r["bytes"] for r in typed)

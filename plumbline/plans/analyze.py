@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from itertools import combinations
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import col, families, normalise_missing
 from plumbline.operators import associations as A
 from plumbline.operators import cluster, collinearity, features, findings, layout, outliers, plotdata, profile, reduce, responses, targets
+from plumbline.operators.frequencies import Frequencies
 from plumbline.session import InputError, cut
 from plumbline.settings import DEFAULTS, Settings
 from plumbline.sources import store
@@ -26,9 +26,10 @@ LAYOUTS = ("pca", "tsne", "umap")
 class _Run:
     """One analysis: its input, its options and the tables it has finished."""
 
-    def __init__(self, df, task, target, keys, settings, original_rows, mode, title, layouts, save):
+    def __init__(self, df, task, target, keys, settings, original_rows, mode, title, layouts, approximate, save):
         self.df, self.task, self.target, self.keys, self.settings = df, task, target, keys, settings
-        self.original_rows, self.mode, self.title, self.layouts, self.save = original_rows, mode, title, layouts, save
+        self.original_rows, self.mode, self.title, self.layouts, self.approximate, self.save = original_rows, mode, title, layouts, approximate, save
+        self.values: Frequencies | None = None
         self.tables: dict[str, DataFrame] = {}
         self.findings: list[DataFrame] = []
 
@@ -57,7 +58,13 @@ def _profile(run: _Run) -> None:
     by = [k for k, kind in families(run.df).items() if kind != "nested"]
     run.put("preview", lambda: preview(run.df, by))
     stats = run.put("dataset_stats", lambda: profile.dataset_stats(run.df, run.original_rows))
-    columns = run.put("column_profile", lambda: profile.column_profile(run.df, run.settings))
+
+    def columns_profiled() -> DataFrame:
+        if not run.approximate:
+            run.values = Frequencies(run.df, by)            # charts read it, too
+        return profile.column_profile(run.df, run.settings, run.approximate, run.values)
+
+    columns = run.put("column_profile", columns_profiled)
     run.findings += [findings.dataset_findings(stats, run.settings), findings.column_findings(columns, run.settings)]
 
 
@@ -82,9 +89,15 @@ def _statistics(run: _Run) -> None:
     run.findings.append(findings.association_findings(pairs, s))
     for name, kind, there in (("matrix_numbers", A.NUM_NUM, len(nums) > 1), ("matrix_categories", A.CAT_CAT, len(cats) > 1), ("matrix_mixed", A.CAT_NUM, cats and nums)):
         if there:
-            run.put(name, lambda kind=kind: A.association_matrix(pairs, kind))
+            try:
+                run.put(name, lambda kind=kind: A.association_matrix(pairs, kind))
+            except Exception as error:
+                run.findings.append(findings.finding(run.df.sparkSession, "statistics", "WARNING", "matrices_not_saved", f"The matrix {name} could not be written: {error}"))
     if run.task != "supervised":
         return
+    if run.tables["column_profile"].where(F.col("column_name") == run.target).isEmpty():
+        run.findings.append(findings.finding(run.df.sparkSession, "statistics", "WARNING", "target_details_missing", f"The profile has no column '{run.target}', the target."))
+        return
     if run.target in cats:
         balance = run.put("class_balance", lambda: A.class_balance(run.df, run.target))
         run.findings.append(findings.balance_findings(balance, run.target, s))
@@ -113,10 +126,11 @@ def _hue(run: _Run) -> tuple[DataFrame, str, str] | None:
     """The table with its colouring column, that column's name and the row key;
     without a colouring column a finding says why."""
     keyed, key = run.row_key()
-    if run.task == "supervised" and run.target is not None:
-        return keyed, run.target, key
     if run.task == "supervised":
-        run.findings.append(findings.finding(run.df.sparkSession, "charts", "WARNING", "no_target_for_hue", "There is no target to colour the charts by; clusters are used."))
+        if run.target in run.df.columns:
+            return keyed, run.target, key
+        rule = findings.no_target_for_hue if run.target is None else findings.target_missing_for_hue
+        run.findings.append(rule(run.df.sparkSession, run.target))
     cols = reduce.feature_names(run.tables["column_profile"], None)
     try:
         labels = run.put("clusters", lambda: cluster.kmeans_clusters(keyed, cols, [key], run.settings))
@@ -133,7 +147,7 @@ def _charts(run: _Run) -> None:
         run.put("histogram", lambda: plotdata.histogram(run.df, nums))
         run.put("kde_curve", lambda: plotdata.kde_curve(run.df, nums))
     if cats:
-        run.put("count_bars", lambda: plotdata.count_bars(run.df, cats, s.bars))
+        run.put("count_bars", lambda: plotdata.count_bars(run.df, cats, s.bars, run.values))
     run.put("heatmap_cells", lambda: _heatmaps(run.tables["associations"]))
     found = _hue(run)
     if found is None:
@@ -151,10 +165,10 @@ def _charts(run: _Run) -> None:
         named = lambda df, c=c: df.select(F.lit(c).alias("column_name"), "*")
         if is_number and c in nums:
             views.setdefault("regression_lines", []).append(named(plotdata.regression_line(colored, c, hue)))
-        elif is_number:
-            views.setdefault("violins", []).append(named(plotdata.violin_summary(colored, c, hue)))
-        elif c in nums:
-            views.setdefault("violins", []).append(named(plotdata.violin_summary(colored, hue, c)))
+        elif is_number or c in nums:
+            category, number = (c, hue) if is_number else (hue, c)
+            views.setdefault("violins", []).append(named(plotdata.violin_summary(colored, category, number)))
+            views.setdefault("violin_density", []).append(named(plotdata.violin_density(colored, category, number)))
         else:
             views.setdefault("grouped_counts", []).append(named(plotdata.grouped_counts(colored, c, hue)))
     for name, parts in views.items():
@@ -197,23 +211,25 @@ def steps_to_run(steps: list[str] | None, task: str) -> list[str]:
     return [s for s in STEPS if s in wanted and not (task == "unsupervised" and s == "target")]
 
 
-def _version(make: Callable) -> str:
-    """A digest of a function's own code: a changed extra step is not served from the store."""
-    code = getattr(make, "__code__", None)
-    said = repr(make) if code is None else repr((code.co_code, code.co_names, [c for c in code.co_consts if not hasattr(c, "co_code")]))
-    return hashlib.sha256(said.encode()).hexdigest()[:16]
+Step = Callable[[dict[str, DataFrame]], DataFrame]
 
 
 def analyze(df: DataFrame, task: str = "supervised", target: str | None = None, mode: str = "full", steps: list[str] | None = None,
-            keys: list[str] | None = None, extra_steps: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None,
-            settings: Settings = DEFAULTS, title: str = "Table Analysis", layouts: tuple[str, ...] = LAYOUTS,
-            store_root: str | None = None, force: bool = False) -> dict[str, DataFrame]:
+            keys: list[str] | None = None, extra_steps: dict[str, Step | tuple[Step, str]] | None = None,
+            settings: Settings = DEFAULTS, title: str = "Table Analysis", layouts: tuple[str, ...] = LAYOUTS, approximate: bool = False,
+            write_intake: bool = True, store_root: str | None = None, force: bool = False) -> dict[str, DataFrame]:
     """Run the steps and return their tables by name, `findings` and `run` among them.
 
     A step that fails leaves an ERROR finding and the steps built on it are
     skipped with a WARNING; all others go on. With `store_root` every finished
     table is kept under a key made of data, options and settings, and a later
-    call takes it from there unless `force` is set.
+    call takes it from there unless `force` is set. An extra step given with a
+    version, (function, version), is kept under that version; one without is
+    computed on every call. `approximate` counts distinct values by sketches.
+
+    The table is written once before the analysis, so that no step parses or
+    computes its source again; `write_intake=False` spares that copy where `df`
+    is a plain read of a columnar format.
     """
     if task not in ("supervised", "unsupervised"):
         raise InputError(f"unknown task '{task}'")
@@ -225,10 +241,12 @@ def analyze(df: DataFrame, task: str = "supervised", target: str | None = None,
     if mode == "fast" and original_rows > settings.sample_rows:
         by = keys or [c for c, kind in families(df).items() if kind != "nested"]
         df = cut(sample_rows(df, settings.sample_rows, by, settings.sample_seed), "sample")
+    elif write_intake:
+        df = cut(df, "intake")
     fingerprint = key = None
     if store_root is not None:
         fingerprint = store.table_fingerprint(df).first()["fingerprint"]
-        options = repr((task, target, mode, keys, original_rows, sorted(layouts), title))
+        options = repr((task, target, mode, keys, original_rows, sorted(layouts), title, approximate))
         key = store.store_key(fingerprint + options, settings)
 
     def save(name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -237,7 +255,7 @@ def analyze(df: DataFrame, task: str = "supervised", target: str | None = None,
         found = None if force else store.load_section(spark, store_root, key, name)
         return found if found is not None else store.save_section(make(), store_root, key, name)
 
-    run = _Run(df, task, target if task == "supervised" else None, keys, settings, original_rows, mode, title, layouts, save)
+    run = _Run(df, task, target if task == "supervised" else None, keys, settings, original_rows, mode, title, layouts, approximate, save)
     failed: set[str] = set()
     for step in steps_to_run(steps, task):
         blocking = [s for s in STEPS[step] if s in failed]
@@ -250,9 +268,11 @@ def analyze(df: DataFrame, task: str = "supervised", target: str | None = None,
         except Exception as error:
             failed.add(step)
             run.findings.append(findings.finding(spark, step, "ERROR", "step_failed", f"Step {step} failed: {error}"))
-    for name, make in (extra_steps or {}).items():
+    for name, step in (extra_steps or {}).items():
+        make, version = step if isinstance(step, tuple) else (step, None)
         try:
-            run.tables[name] = save(f"{name}-{_version(make)}", lambda make=make: make(dict(run.tables)))
+            result = lambda make=make: make(dict(run.tables))
+            run.tables[name] = cut(result(), name) if version is None else save(f"{name}-{version}", result)
         except Exception as error:
             run.findings.append(findings.finding(spark, name, "ERROR", "step_failed", f"Step {name} failed: {error}"))
     run.tables["findings"] = cut(findings.merge_findings(spark, run.findings), "findings")

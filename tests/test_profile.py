@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings as hyp, strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.operators import frequencies, profile
+from plumbline.operators import frequencies, ordering, profile
 from plumbline.settings import Settings
 
 TYPES = {"boolean", "datetime", "id", "categorical", "numerical", "text"}
@@ -180,3 +180,36 @@ def test_scratch_folder_without_a_setting(spark):
     shared = Stub("yarn")
     shared.conf["spark.checkpoint.dir"] = "hdfs://shared/tmp"
     assert scratch_dir(shared) == "hdfs://shared/tmp"
+
+
+def mixed(spark):
+    rows = [(i % 7, i % 3 == 0, float(i % 5) / 4, None if i % 4 else f"t{i % 6}", "long " * 10 + str(i % 3), f"{i % 9}", None, float("nan") if i % 2 else 1.5) for i in range(400)]
+    df = spark.createDataFrame(rows, "w int, flag boolean, x double, t string, long string, spelled string, none string, gap double")
+    return df.withColumns({"day": F.expr("date_add(date'2020-01-01', w)"), "price": F.expr("cast(x as decimal(8,2))"), "small": F.col("x").cast("float")}).repartition(5)
+
+
+def test_frequencies_answer_like_the_source(spark):
+    df = mixed(spark)
+    values = frequencies.Frequencies(df, df.columns)
+    plain = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert plain(values.distinct()) == plain(frequencies.distinct_counts(df, df.columns))
+    assert plain(values.values(df.columns)) == plain(frequencies.value_frequencies(df, df.columns))
+    assert plain(profile.category_summary(df, df.columns, values=values)) == plain(profile.category_summary(df, df.columns))
+    assert values.spelled("long") is None and values.spelled("w") is not None
+    probs = [0.0, 0.25, 0.5, 0.9]
+    exact = ordering.quantile_values(df, ["w", "x", "gap"], probs)
+    assert values.quantiles(["w", "x", "gap", "t", "day"], probs, 100) == exact and values.quantiles(["w"], probs, 2) == {}
+    empty = frequencies.Frequencies(df.limit(0), df.columns)
+    assert set(empty.unique.values()) == {0} and empty.quantiles(["w"], probs, 5) == {"w": [None] * 4}
+
+
+def test_statistics_scan_a_wide_table_once(spark, folder):
+    df = mixed(spark)
+    wide = df.select("*", *[F.col("x").alias(f"x{i}") for i in range(30)], *[F.col("t").alias(f"t{i}") for i in range(10)])
+    wide.write.parquet(f"{folder}/wide")
+    stats = profile.column_stats(spark.read.parquet(f"{folder}/wide"))
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    rows = {r["column_name"]: r for r in stats.collect()}
+    assert len(rows) == len(wide.columns) and rows["x29"]["mean"] == pytest.approx(rows["x"]["mean"]) and rows["t"]["present_count"] == 100
+    assert (rows["none"]["present_count"], rows["none"]["row_count"], rows["gap"]["present_count"]) == (0, 400, 200)

@@ -58,6 +58,25 @@ def test_clusters_are_found_and_numbered_by_centre(spark, cloud):
     assert {r["cluster"] for r in cluster.kmeans_clusters(cloud, [], ["k"]).collect()} == {0}
 
 
+def test_restarts_share_their_scans(spark, cloud, monkeypatch):
+    """Rows are read once a round, however many runs there are, and the best of them is as good as any."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(60, 2)) + c for c in ([0, 0], [12, 0], [0, 12], [12, 12], [30, 30])] + [np.zeros((20, 2))])
+    vectors = cut(spark.createDataFrame([(int(rng.integers(-2 ** 63, 2 ** 63)), [float(a) for a in p]) for p in x], "lot long, v array<double>").repartition(6), "lots")
+    cost = lambda centres: ((x[:, None] - centres[None]) ** 2).sum(2).min(1).sum()
+    scans = []
+    kind, plain = type(vectors), type(vectors).mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, *a, **b: (scans.append(1), plain(self, *a, **b))[1])
+    for restarts in (1, 6):
+        scans.clear()
+        centres = cluster.lloyd(vectors, 5, restarts, 8, 42)
+        assert len(scans) <= 1 + cluster.SEED_ROUNDS + 1 + 8 + 1
+        assert centres.shape == (5, 2)
+    groups = [x[i * 60:(i + 1) * 60] for i in range(4)] + [x[240:300]]
+    groups[0] = np.vstack([groups[0], x[300:]])
+    assert cost(centres) <= 1.001 * sum(((g - g.mean(0)) ** 2).sum() for g in groups)
+
+
 def test_histogram_counts_everything(spark):
     df = spark.range(1000).select((F.col("id") % 97).cast("double").alias("x"), F.lit(3.0).alias("flat"))
     rows = plotdata.histogram(df, ["x", "flat"]).collect()

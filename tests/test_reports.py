@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from catalog.intake import as_csv, write_arrow, write_workbooks
 from plumbline import InputError, Settings, analyze, read_table
 from plumbline.operators import findings, profile, responses
+from plumbline.plans import analyze as plan
 from plumbline.plans.analyze import steps_to_run
 from plumbline.sources import store, tables
 
@@ -207,7 +208,7 @@ def test_steps():
 
 def test_supervised(spark, people, folder):
     calls = []
-    extra = {"rows_per_class": lambda t: calls.append(1) or people.groupBy("class").count(), "boom": lambda t: 1 / 0}
+    extra = {"rows_per_class": (lambda t: calls.append(1) or people.groupBy("class").count(), "1"), "boom": lambda t: 1 / 0, "anew": lambda t: calls.append(2) or people.limit(1)}
     found = analyze(people, keys=["row_id"], layouts=("pca",), extra_steps=extra, store_root=folder)
     assert found["run"].first()["target"] == "survived"
     assert {"column_profile", "associations", "class_balance", "leakage", "pca_variance", "embedding_pca", "points_pca", "histogram", "violins",
@@ -218,7 +219,13 @@ def test_supervised(spark, people, folder):
     context = json.loads(found["analysis_context"].first()["context"])
     assert len(context["column_profile"]) == 7
     again = analyze(people, keys=["row_id"], layouts=("pca",), extra_steps=extra, store_root=folder)
-    assert len(calls) == 1 and sorted(again) == sorted(set(found))
+    assert calls == [1, 2, 2] and sorted(again) == sorted(set(found))
+    assert {"violins", "violin_density"} <= set(found) and found["violin_density"].count() > 0
+    # another version, or a changed value without one, is never served from the store
+    extra["rows_per_class"] = (lambda t: people.groupBy("sex").count(), "2")
+    extra["anew"] = lambda t: people.limit(7)
+    third = analyze(people, keys=["row_id"], layouts=("pca",), extra_steps=extra, store_root=folder)
+    assert third["rows_per_class"].columns[0] == "sex" and third["anew"].count() == 7
     assert again["associations"].inputFiles() == found["associations"].inputFiles()
 
 
@@ -230,6 +237,44 @@ def test_unsupervised_with_a_failing_step(spark, people):
     assert ("reduction", "step_failed") in seen and ("charts", "step_skipped") in seen and "associations" in broken and "prompt_messages" in broken
 
 
+def _bare_run(people, target):
+    run = plan._Run(people, "supervised", target, ["row_id"], Settings(clusters=2, cluster_restarts=1, cluster_rounds=3), 240, "full", "t", (), False, lambda name, make: make())
+    run.tables["column_profile"] = profile.column_profile(people)
+    return run
+
+
+def test_rules_about_a_missing_target(spark, people):
+    run = _bare_run(people, "gone")
+    plan._statistics(run)
+    assert "class_balance" not in run.tables and "leakage" not in run.tables
+    assert plan._hue(run)[1] == "cluster"
+    none = _bare_run(people, None)
+    assert plan._hue(none)[1] == "cluster"
+    said = {(r["rule"], r["level"]) for part in (*run.findings, *none.findings) for r in part.collect()}
+    assert {("target_details_missing", "WARNING"), ("target_missing_for_hue", "WARNING"), ("no_target_for_hue", "INFO")} <= said
+    alerted = findings.alerts(findings.merge_findings(spark, none.findings))
+    assert alerted.where("rule = 'no_target_for_hue'").isEmpty()
+
+
+def test_matrices_that_cannot_be_written(spark, people):
+    run = _bare_run(people, "survived")
+
+    def save(name, make):
+        if name.startswith("matrix"):
+            raise OSError("disk full")
+        return make()
+
+    run.save = save
+    plan._statistics(run)
+    said = [(r["rule"], r["level"]) for part in run.findings for r in part.collect()]
+    assert said.count(("matrices_not_saved", "WARNING")) == 3 and "leakage" in run.tables
+
+
+def test_approximate_analysis(spark, people):
+    found = analyze(people, steps=["profile"], keys=["row_id"], approximate=True, write_intake=False)
+    assert {r["column_name"]: r["unique_count"] for r in found["column_profile"].collect()}["class"] == 3
+
+
 def test_unusable_target(spark, people):
     found = analyze(people, target="row_id", steps=["statistics"])
     seen = {(r["module"], r["rule"]) for r in found["findings"].collect()}

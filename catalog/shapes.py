@@ -107,6 +107,10 @@ QUERIES = {
     "pca_embedding_two": lambda spark, d: rounded(reduce.pca_embedding(
         reduce.prepared(table(spark, d, "orders"), ["o_totalprice", "o_custkey"], ["o_orderkey"]), ["o_totalprice", "o_custkey"], ["o_orderkey"])
         .select("o_orderkey", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2")), 4),
+    "pca_signed_scores": lambda spark, d: rounded(reduce.pca_embedding(table(spark, d, "orders").select(
+        "o_orderkey", F.array(F.col("o_totalprice") / 1000, F.col("o_custkey") / 3).alias("v")), "v", ["o_orderkey"]), 5),
+    "pca_vector_trace": lambda spark, d: rounded(reduce.pca_variance(table(spark, d, "embeddings"), "embedding", WIDTH)
+        .agg(F.count("*").alias("components"), F.sum("ratio").alias("explained"), F.max("ratio").alias("unused")).drop("unused"), 6),
     "kmeans_separated_groups": lambda spark, d: cluster.kmeans_clusters(grouped_part(spark, d), ["x", "y"], ["p_partkey"]),
     "kmeans_clusters": lambda spark, d: cluster.kmeans_clusters(embedded(spark, d), EMBED, ["vec_id"]),
     "kmeans_cluster_sizes": lambda spark, d: cluster.kmeans_clusters(table(spark, d, "part"), ["p_size", "p_retailprice"], ["p_partkey"])
@@ -140,6 +144,12 @@ QUERIES = {
 _STD = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
 
 ORACLES = {
+    # the longer axis of two centred columns, each axis pointing to its larger loading
+    "pca_signed_scores": f"""WITH m AS (SELECT o_orderkey, o_totalprice / 1000 AS x, o_custkey / 3.0 AS y FROM orders),
+ s AS (SELECT avg(x) AS ax, avg(y) AS ay, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS t FROM m),
+ a AS (SELECT *, CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN sign(cos(t)) ELSE sign(sin(t)) END AS g, CASE WHEN abs(sin(t)) >= abs(cos(t)) THEN sign(-sin(t)) ELSE sign(cos(t)) END AS h FROM s)
+SELECT o_orderkey, {r('g * ((x - ax) * cos(t) + (y - ay) * sin(t))', 5)} AS pc1, {r('h * ((y - ay) * cos(t) - (x - ax) * sin(t))', 5)} AS pc2 FROM m, a""",
+    "pca_vector_trace": "SELECT 64 AS components, CAST(1.0 AS DOUBLE) AS explained",
     "kmeans_separated_groups": "SELECT p_partkey, CAST(p_size % 2 * 2 + (p_size // 2) % 2 AS INTEGER) AS cluster FROM part",
     "select_features": f"""SELECT column_name, u + CAST(k < n AS INTEGER) <= 1 AS is_constant FROM ({_stats_sql('lineitem')})
  WHERE inferred_type = 'numerical' AND column_name <> 'l_quantity'""",

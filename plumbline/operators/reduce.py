@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col, numbers
 from plumbline.operators.ordering import quantile_values
+from plumbline.operators.vectors import principal_axes, scores
 from plumbline.session import InputError
 from plumbline.settings import DEFAULTS, Settings
 
@@ -91,17 +92,20 @@ def pca_fit(ready: DataFrame, cols: list[str], components: int = DEFAULTS.pca_co
     return [float(x) for x in model.explainedVariance], loadings * np.where(signs == 0, 1, signs)
 
 
-def pca_variance(ready: DataFrame, cols: list[str], components: int = DEFAULTS.pca_components) -> DataFrame:
-    """(component, ratio), component 1 first."""
-    ratios, _ = pca_fit(ready, cols, components)
+def pca_variance(ready: DataFrame, cols: list[str] | str, components: int = DEFAULTS.pca_components) -> DataFrame:
+    """(component, ratio), component 1 first. `cols`: prepared columns, or the name of one array column."""
+    ratios = principal_axes(ready, cols, components)[0] if isinstance(cols, str) else pca_fit(ready, cols, components)[0]
     return ready.sparkSession.createDataFrame(list(enumerate(ratios, 1)), "component int, ratio double")
 
 
-def pca_embedding(ready: DataFrame, cols: list[str], keys: list[str], names: tuple[str, str] = ("pc1", "pc2")) -> DataFrame:
-    """Keys and the first two component scores."""
+def pca_embedding(ready: DataFrame, cols: list[str] | str, keys: list[str], names: tuple[str, str] = ("pc1", "pc2")) -> DataFrame:
+    """Keys and the first two component scores. `cols`: prepared columns, or the name of one array column."""
+    if isinstance(cols, str):
+        _, loadings, mean = principal_axes(ready, cols, 2)
+        return scores(ready, cols, keys, loadings, mean, list(names[:loadings.shape[1]]))
     _, loadings = pca_fit(ready, cols, 2)
-    scores = []
+    found = []
     for j, name in enumerate(names[:loadings.shape[1]]):
         terms = [col(c) * float(loadings[i, j]) for i, c in enumerate(cols)]
-        scores.append(sum(terms[1:], terms[0]).alias(name))
-    return ready.select(*[col(k) for k in keys], *scores)
+        found.append(sum(terms[1:], terms[0]).alias(name))
+    return ready.select(*[col(k) for k in keys], *found)

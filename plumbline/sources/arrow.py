@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from plumbline.session import InputError, ship
+from plumbline.session import InputError, cut, ship
+from plumbline.sources.listing import headers, listed, merged, plain_path, tasks_for
 
 ship(__name__)
 
 BATCHES_PER_TASK = 64
 LARGE_FILE = 256 * 1024 * 1024
+SUFFIXES = (".feather", ".arrow")
 
 
 def files_under(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
@@ -40,6 +46,57 @@ def create_file(path: str):
     return system.open_output_stream(root)
 
 
+def _header(path: str) -> tuple[bytes, int]:
+    """The schema of a file as bytes, and its number of record batches."""
+    import pyarrow as pa
+    with open_file(path) as handle:
+        reader = pa.ipc.open_file(handle)
+        return reader.schema.remove_metadata().serialize().to_pybytes(), reader.num_record_batches
+
+
+def _unified(headers: list[bytes]) -> bytes:
+    """The columns of all schemas, in the order they are met; numbers of one column take the wider type."""
+    import pyarrow as pa
+    return pa.unify_schemas([pa.ipc.read_schema(pa.py_buffer(h)) for h in headers], promote_options="permissive").serialize().to_pybytes()
+
+
+def _batches(path: str, first: int, last: int, schema) -> Iterator:
+    """Record batches of a file with the columns of `schema`; those it lacks are missing."""
+    import pyarrow as pa
+    with open_file(path) as handle:
+        reader = pa.ipc.open_file(handle)
+        for i in range(first, last):
+            batch = reader.get_batch(i)
+            there = set(batch.schema.names)
+            columns = [batch.column(f.name).cast(f.type) if f.name in there else pa.nulls(batch.num_rows, f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """All Arrow files under a path with the columns of all of them.
+
+    Tasks read the schemas and then stretches of record batches; the driver
+    sees neither a file nor the list of them."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    found = headers(listed(spark, path, SUFFIXES), _header, "arrow_headers")
+    whole = merged(found, _unified)
+    if whole is None:
+        raise InputError(f"there are no Arrow files under '{path}'")
+    schema = pa.ipc.read_schema(pa.py_buffer(whole))
+    starts = F.when(F.col("parts") > 0, F.sequence(F.lit(0), F.col("parts") - 1, F.lit(BATCHES_PER_TASK))).otherwise(F.array().cast("array<bigint>"))
+    pieces = cut(found.select("path", "parts", F.explode(starts).alias("first")), "arrow_pieces")
+
+    def read(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at, parts, first in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _batches(plain_path(at), first, min(first + BATCHES_PER_TASK, parts), schema)
+
+    tasks = tasks_for(spark, found, pieces.count())
+    return pieces.repartition(tasks, "path", "first").mapInArrow(read, from_arrow_schema(schema))
+
+
 class Stretch(InputPartition):
     def __init__(self, path: str, first: int, last: int | None):
         self.path, self.first, self.last = path, first, last
@@ -54,7 +111,7 @@ class ArrowReader(DataSourceReader):
     def partitions(self):
         import pyarrow as pa
         parts = []
-        for path, size in files_under(self.path, (".feather", ".arrow")):
+        for path, size in files_under(self.path, SUFFIXES):
             if size < LARGE_FILE:
                 parts.append(Stretch(path, 0, None))
                 continue
@@ -64,17 +121,13 @@ class ArrowReader(DataSourceReader):
         return parts
 
     def read(self, part):
-        import pyarrow as pa
-        with open_file(part.path) as handle:
-            reader = pa.ipc.open_file(handle)
-            for i in range(part.first, reader.num_record_batches if part.last is None else part.last):
-                batch = reader.get_batch(i)
-                there = set(batch.schema.names)
-                columns = [batch.column(f.name).cast(f.type) if f.name in there else pa.nulls(batch.num_rows, f.type) for f in self.schema]
-                yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
+        last = _header(part.path)[1] if part.last is None else part.last
+        yield from _batches(part.path, part.first, last, self.schema)
 
 
 class ArrowFiles(DataSource):
+    """The same files for `spark.read.format`; its schema is read on the driver, file by file."""
+
     @classmethod
     def name(cls):
         return "plumbline_arrow"
@@ -82,14 +135,10 @@ class ArrowFiles(DataSource):
     def _union(self):
         """The columns of all files, in the order they are met; numbers of one column take the wider type."""
         import pyarrow as pa
-        found = files_under(self.options["path"], (".feather", ".arrow"))
+        found = files_under(self.options["path"], SUFFIXES)
         if not found:
             raise InputError(f"there are no Arrow files under '{self.options['path']}'")
-        schemas = []
-        for path, _ in found:
-            with open_file(path) as handle:
-                schemas.append(pa.ipc.open_file(handle).schema.remove_metadata())
-        return pa.unify_schemas(schemas, promote_options="permissive")
+        return pa.ipc.read_schema(pa.py_buffer(_unified([_header(path)[0] for path, _ in found])))
 
     def schema(self):
         from pyspark.sql.pandas.types import from_arrow_schema

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col, normalise_missing
 from plumbline.session import InputError, cut
+from plumbline.sources.arrow import read_arrow
 from plumbline.sources.delimited import read_delimited
+from plumbline.sources.workbook import read_workbooks
 
 # Texts that stand for a missing cell in delimited files.
 MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
@@ -34,13 +36,9 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, sep: str
     if fmt == "csv":
         return read_csv(spark, path, sep)
     if fmt == "arrow":
-        from plumbline.sources.arrow import ArrowFiles
-        spark.dataSource.register(ArrowFiles)
-        return normalise_missing(spark.read.format(ArrowFiles.name()).load(path))
+        return normalise_missing(read_arrow(spark, path))
     if fmt == "workbook":
-        from plumbline.sources.workbook import Workbooks
-        spark.dataSource.register(Workbooks)
-        return typed_text(spark.read.format(Workbooks.name()).load(path))
+        return typed_text(read_workbooks(spark, path))
     raise InputError(f"unknown format '{fmt}'")
 
 

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import datetime
+import json
 import re
 import zipfile
+from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from plumbline.session import InputError, ship
 from plumbline.sources.arrow import Stretch, files_under, open_file
+from plumbline.sources.listing import headers, listed, merged, plain_path, tasks_for
 
 ship(__name__)
 
@@ -20,6 +25,7 @@ MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 DATE_STYLES = {*range(14, 23), 45, 46, 47}
 EPOCH = datetime.datetime(1899, 12, 30)
+ROWS = 2000               # rows of one Arrow batch
 
 
 def _first_sheet(book: zipfile.ZipFile) -> str:
@@ -100,6 +106,37 @@ def column_names(header: list[str | None]) -> list[str]:
     return names
 
 
+def _header(path: str) -> tuple[bytes, int]:
+    return json.dumps(column_names(next(sheet_rows(path), []))).encode(), 1
+
+
+def _united(headers: list[bytes]) -> bytes:
+    """All names in the order they are met."""
+    return json.dumps(list(dict.fromkeys(name for h in headers for name in json.loads(h)))).encode()
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheets of all workbooks under a path as texts, with the columns of
+    all of them. Tasks read the headers and then the rows, a workbook each."""
+    import pyarrow as pa
+
+    found = headers(listed(spark, path, (".xlsx",)), _header, "workbook_headers")
+    whole = merged(found, _united)
+    names = json.loads(whole) if whole is not None else []
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    if not names:
+        return spark.createDataFrame([], schema)
+
+    def read(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                rows = WorkbookReader(path, names).read(Stretch(plain_path(at), 0, None))
+                while some := list(islice(rows, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some)], names=names)
+
+    return found.select("path").repartition(tasks_for(spark, found, found.count()), "path").mapInArrow(read, schema)
+
+
 class WorkbookReader(DataSourceReader):
     def __init__(self, path: str, names: list[str]):
         self.path, self.names = path, names

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import cluster, descent, forest, layout, neighbours, plotdata, profile, reduce
+from plumbline.operators import cluster, descent, forest, layout, neighbours, plotdata, profile, reduce, vectors
 from plumbline.session import InputError, cut
 from plumbline.settings import Settings
 
@@ -44,6 +44,43 @@ def test_components(spark, cloud):
         assert scores[f"pc{j + 1}"].to_numpy() == pytest.approx(x @ axis)
 
 
+def test_components_of_wide_vectors(spark):
+    """1,536 dimensions as an array: no plan of 1,536 columns; the components are those of a full decomposition."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6)) * [9, 7, 5, 4, 3, 2] @ rng.normal(size=(6, 1536)) + rng.normal(size=(300, 1536)) * 0.3 + 5
+    df = cut(spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(x)], "k long, v array<double>").repartition(5), "wide")
+    ratios, axes, mean = vectors.principal_axes(df, "v", 4)
+    centred = x - x.mean(0)
+    _, size, true = np.linalg.svd(centred, full_matrices=False)
+    assert ratios == pytest.approx(list(size[:4] ** 2 / (size ** 2).sum()), rel=1e-8) and mean == pytest.approx(x.mean(0))
+    true = true[:4].T * np.sign(true[:4].T[np.abs(true[:4].T).argmax(0), range(4)])
+    assert np.abs(axes - true).max() < 1e-5
+    found = reduce.pca_embedding(df, "v", ["k"])
+    assert len(found._jdf.queryExecution().executedPlan().toString()) < 5000
+    rows = found.toPandas().sort_values("k")
+    assert np.allclose(rows[["pc1", "pc2"]].to_numpy(), centred @ true[:, :2], atol=1e-3)
+    ready = vectors.standardise_vectors(df, "v", ["k"]).toPandas().sort_values("k")
+    assert np.allclose(np.vstack(ready["v"]), centred / x.std(0))
+
+
+def test_vectors_of_few_rows_and_dimensions(spark):
+    make = lambda rows: spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "k long, v array<double>")
+    assert vectors.principal_axes(make([[1.0, 2.0]]), "v", 2)[0] == [] and vectors.principal_axes(make([]), "v", 2)[0] == []
+    ratios, axes, _ = vectors.principal_axes(make([[1.0, 2.0], [1.0, 4.0], [1.0, 9.0]]), "v", 2)
+    assert ratios == pytest.approx([1.0, 0.0]) and axes[:, 0] == pytest.approx([0.0, 1.0])
+    flat = vectors.standardise_vectors(make([[1.0, 2.0], [1.0, 4.0]]), "v", ["k"]).orderBy("k").collect()
+    assert [r["v"] for r in flat] == [[0.0, -1.0], [0.0, 1.0]]
+    with pytest.raises(InputError):
+        vectors.moments(make([[1.0], [1.0, 2.0]]), "v")
+
+
+def test_layouts_of_array_columns(spark, cloud):
+    ready = vectors.standardise_vectors(cloud.select("k", F.array(*COLS).alias("v")), "v", ["k"])
+    flat = layout.umap(ready, "v", "k", rounds=30).toPandas().sort_values("k")[["umap1", "umap2"]].to_numpy()
+    high = np.vstack(ready.toPandas().sort_values("k")["v"])
+    assert np.isfinite(flat).all() and preserved(high, flat) > 0.4
+
+
 def test_features_leave_out_constants_and_target(spark):
     df = spark.createDataFrame([(i % 40, float(i % 30), 1.0, i % 35) for i in range(200)], "a int, b double, flat double, t int")
     light = profile.light_profile(df)

@@ -14,9 +14,11 @@ from catalog.shapes import ORACLES as SHAPES_SQL, QUERIES as SHAPES
 from catalog.statistics import ORACLES as STATS, wide_associations
 from plumbline.operators import associations as A
 from plumbline.operators import profile
+from plumbline.operators.frequencies import distinct_counts
+from plumbline.operators.ordering import quantiles
 from plumbline.session import scratch_path, ship
 from plumbline.settings import DEFAULTS
-from plumbline.sources import store, tables
+from plumbline.sources import sketches, store, tables
 from plumbline.sources.arrow import create_file
 
 ship(__name__)
@@ -160,7 +162,29 @@ def _json(spark, d):
     return rounded(spark.read.schema("column_name string, missing_count bigint, missing_pct double").json(path))
 
 
+def sketched_lineitem(spark, d):
+    """Line items that arrive in two batches of files; the sketches of the first are not made again.
+
+    Distinct counts must be within 3 %, medians within 1 % of the ranks."""
+    items, root = table(spark, d, "lineitem"), scratch_path(spark, "sketches")
+    cols = ["l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+    later = F.col("l_orderkey") % 3 == 0
+    items.where(~later).write.parquet(f"{root}/data/first")
+    first = sketches.refresh(spark, f"{root}/data", root)
+    items.where(later).write.parquet(f"{root}/data/second")
+    found = sketches.sketched_profile(spark, f"{root}/data", root).where(F.col("column_name").isin(cols))
+    exact = distinct_counts(items, cols).withColumnRenamed("unique_count", "true_count")
+    near = quantiles(items, cols[:3], [0.49, 0.51]).groupBy("column_name").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    there = sketches.stored(spark, root)
+    once = there.groupBy("file", "column_name").count().where("count > 1").isEmpty()
+    return found.join(exact, "column_name").join(near, "column_name", "left").select(
+        "column_name", "row_count", "present_count", (F.abs(F.col("unique_count") / F.col("true_count") - 1) <= 0.03).alias("distinct_near"),
+        F.coalesce(F.col("median").between(F.col("low"), F.col("high")), F.col("low").isNull()).alias("median_near"),
+        F.lit(once and first > 0).alias("sketched_once"))
+
+
 QUERIES = {
+    "sketched_profile": sketched_lineitem,
     "scan_parquet": lambda spark, d: tables.read_table(spark, f"{d}/orders.parquet"),
     "scan_csv": lambda spark, d: rounded(tables.read_table(spark, _orders_csv(spark, d), "csv")),
     "scan_csv_semicolon": lambda spark, d: rounded(tables.read_table(spark, _orders_csv(spark, d, ";"), "csv", ";")),
@@ -193,6 +217,8 @@ _CSV_SQL = """SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN {custkey} END
     custkey=r("o_custkey"), price=r("o_totalprice"))
 
 ORACLES = {
+    "sketched_profile": union_all([f"SELECT '{c}' AS column_name, count(*) AS row_count, count({c}) AS present_count, TRUE AS distinct_near, TRUE AS median_near, TRUE AS sketched_once FROM lineitem"
+                                   for c in ("l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag")]),
     "scan_parquet": "SELECT * FROM orders",
     "scan_csv": _CSV_SQL,
     "scan_csv_semicolon": _CSV_SQL,

@@ -42,11 +42,21 @@ def approximate_recall(spark, d):
     return rounded(found.select("points", "neighbours", (F.col("recall") >= 0.9).alias("recall_at_least_90"), reach.alias("mean_reach")))
 
 
+_placed = {}
+
+
+def placed(spark, d, place, anew=True):
+    """The layout of all vectors; unless `anew`, the one that a query of this application has made already."""
+    key = spark.sparkContext.applicationId, d, place.__name__
+    if anew or key not in _placed:
+        _placed[key] = place(cut(ready_vectors(spark, d), "ready"), EMBED, "vec_id")
+    return _placed[key]
+
+
 def preservation(spark, d, place, least):
     """One row: whether enough of the ten nearest vectors are among the ten nearest points of the layout."""
-    ready = cut(ready_vectors(spark, d), "ready")
-    graph = cut(neighbours.knn_graph(ready, EMBED, "vec_id", 10), "exact")
-    return layout.preserved(graph, place(ready, EMBED, "vec_id"), "vec_id").select("points", (F.col("share") >= least).alias("neighbours_kept"))
+    graph = cut(neighbours.knn_graph(ready_vectors(spark, d), EMBED, "vec_id", 10), "exact")
+    return layout.preserved(graph, placed(spark, d, place, anew=False), "vec_id").select("points", (F.col("share") >= least).alias("neighbours_kept"))
 
 
 QUERIES = {
@@ -55,8 +65,8 @@ QUERIES = {
     "knn_graph_copies": lambda spark, d: rounded(neighbours.knn_graph(table(spark, d, "labels"), ["quality", "toxic"], "doc_id", 4)),
     "tsne_affinities": lambda spark, d: layout.tsne_affinities(neighbours.knn_graph(ready_vectors(spark, d), EMBED, "vec_id", 31), 10.0),
     "umap_weights": lambda spark, d: layout.umap_weights(neighbours.knn_graph(ready_vectors(spark, d), EMBED, "vec_id", 14), 15),
-    "tsne": lambda spark, d: layout.tsne(ready_vectors(spark, d), EMBED, "vec_id"),
-    "umap": lambda spark, d: layout.umap(ready_vectors(spark, d), EMBED, "vec_id"),
+    "tsne": lambda spark, d: placed(spark, d, layout.tsne),
+    "umap": lambda spark, d: placed(spark, d, layout.umap),
     "knn_graph_approximate": approximate_recall,
     # A point's ten nearest are 2 % of these; t-SNE with all forces exact keeps 28 % of them.
     "tsne_preserved": lambda spark, d: preservation(spark, d, layout.tsne, 0.2),

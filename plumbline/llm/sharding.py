@@ -1,14 +1,14 @@
 """Sharding by vector bin packing: bytes, tokens and rows at once.
 
 Groups of equal texts are the items. Small groups travel in bundles by the hash
-of their text, so that the number of items does not grow with the input; a group
-with more than its share of a shard is split into parts. Items are placed from
+of their text, so that the number of items does not grow with the input; only a
+group larger than a shard is split into parts. Items are placed from
 the largest down, each into the shard where the dot product of its size vector
 with the shard's residual capacity is highest. Sizes are then near equal: the
 law is `bytes`.
 
-All sums and counts are partial aggregations. At most BUNDLES + 3 x SPLIT x
-shards x (1 + parts) item sizes meet on the driver. Slots come from counts per
+All sums and counts are partial aggregations. At most BUNDLES + 3 x (SPLIT + 2)
+x shards item sizes meet on the driver. Slots come from counts per
 written partition, so no shard meets one task.
 
 Defined results: a null text has no bytes and counts as an empty one; groups are
@@ -37,7 +37,7 @@ SHARDS = 40
 ROW_BYTES = 16
 #: Bundles of small groups.
 BUNDLES = 32_768
-#: A group of over 1 / SPLIT of a shard, in any measure, is an item of its own, in parts of that size.
+#: A group of over 1 / SPLIT of a shard, in any measure, is an item of its own.
 SPLIT = 64
 
 
@@ -82,9 +82,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     measures = [F.sum("size"), F.sum("tokens"), F.count("*")]
     names = ["bytes", "tokens", "n"]
     total = rows.agg(*(m.alias(n) for m, n in zip(measures, names))).first()
-    limit = [max(1.0, (total[n] or 0) / (shards * SPLIT)) for n in names]
+    fair = [max(1.0, (total[n] or 0) / shards) for n in names]
+    limit = [max(1.0, f / SPLIT) for f in fair]
     groups = rows.groupBy("group").agg(*(m.alias(n) for m, n in zip(measures, names)))
-    parts = F.ceil(F.greatest(*(F.col(n) / F.lit(x) for n, x in zip(names, limit)))).cast("long")
+    parts = F.ceil(F.greatest(*(F.col(n) / F.lit(x) for n, x in zip(names, fair)))).cast("long")
     # over 1 / SPLIT of a shard in one of three measures: at most 3 x SPLIT x shards groups
     large = sorted(tuple(r) for r in groups.filter(" or ".join(f"{n} > {x!r}" for n, x in zip(names, limit))).select("group", F.least(parts, F.col("n")).alias("parts")).collect())
     starts = np.cumsum([0, *(p for _, p in large)])

@@ -297,3 +297,41 @@ def test_sharding_is_even_and_gapless(spark, docs):
     assert sum(len(h) > 1 for h in homes.values()) == 1                 # only the large group is split
     assert sharding.sharded(fx.empty(spark)).count() == 0
     assert sharding.sharded(docs).count() == docs.count()
+
+
+def brute_placement(sizes, shards):
+    """The rule of the dot product, one item after the other."""
+    total = [max(sum(s[m] for s in sizes), 1) for m in range(3)]
+    share = [[s[m] / total[m] * shards for m in range(3)] for s in sizes]
+    room = [[1.0] * 3 for _ in range(shards)]
+    where = [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-max(share[i]), i)):
+        fitting = [j for j in range(shards) if all(r >= x for r, x in zip(room[j], share[i]))] or list(range(shards))
+        where[i] = max(fitting, key=lambda j: (sum(r * x for r, x in zip(room[j], share[i])), -j))
+        room[where[i]] = [r - x for r, x in zip(room[where[i]], share[i])]
+    return where
+
+
+def test_items_go_where_the_dot_product_is_highest():
+    rng = np.random.default_rng(3)
+    for shards in (1, 3, 8):
+        sizes = rng.integers(1, 1000, (60, 3))
+        assert sharding.placed(sizes, shards).tolist() == brute_placement(sizes.tolist(), shards)
+
+
+def test_equal_texts_share_a_shard(spark):
+    """Groups of all sizes stay whole, unless they are larger than a shard; shards are near equal."""
+    rng = random.Random(4)
+    texts = [fx.prose(rng.randint(20, 60), 900 + i) for i in range(300)]
+    rows = [t for i, t in enumerate(texts) for _ in range(1 + (i % 7 == 0) * rng.randint(1, 12))]
+    rows += [texts[0]] * 400                              # about a third of all rows
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6)
+    found = sharding.sharded(docs).join(docs, "doc_id").collect()
+    shards = collections.defaultdict(set)
+    for r in found:
+        shards[r.text].add(r.shard)
+    assert len(found) == len(rows) and all(len(s) == 1 for t, s in shards.items() if t != texts[0]) and len(shards[texts[0]]) > 5
+    sizes = collections.Counter()
+    for r in found:
+        sizes[r.shard] += r["size"]
+    assert len(sizes) == 40 and max(sizes.values()) <= 1.35 * sum(sizes.values()) / 40

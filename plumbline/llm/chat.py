@@ -40,8 +40,8 @@ BEGIN = "<s>"
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("[BOT]", "</s>")}
 #: Opening mark of any other role, with the role's name in percent encoding.
 OTHER = ("[ROLE=", "]", "[/ROLE]")
-#: A mark after any number of backslashes; only without one it is a mark.
-CONTROL = r"(\\*)(<s>|</s>|\[INST\]|\[/INST\]|\[BOT\]|<<SYS>>|<</SYS>>|\[ROLE=[A-Za-z0-9_.~%-]*\]|\[/ROLE\])"
+#: A mark after any number of backslashes, all of them; only without one it is a mark.
+CONTROL = r"(?<!\\)(\\*)(<s>|</s>|\[INST\]|\[/INST\]|\[BOT\]|<<SYS>>|<</SYS>>|\[ROLE=[A-Za-z0-9_.~%-]*\]|\[/ROLE\])"
 LOSS_ROLE = "assistant"
 
 _CONTROL = re.compile(CONTROL)

@@ -191,6 +191,14 @@ def test_chat_round_trip(turns):
     assert chat.parse("".join(chat.render(r, t) for r, t in turns)) == turns
 
 
+def test_runs_of_backslashes_take_linear_time():
+    import time
+    turns = [("user", "\\" * 200_000), ("assistant", "\\" * 100_000 + "[INST]" + "\\" * 50_000)]
+    begin = time.perf_counter()
+    assert chat.parse("".join(chat.render(r, t) for r, t in turns)) == turns
+    assert time.perf_counter() - begin < 5
+
+
 def test_chat_digests(spark):
     import hashlib
     rows = [(1, 1, "assistant", "b </s> c", 0), (1, 0, "user", None, 0), (2, 0, None, "x\\[INST]", 0), (2, 0, None, "x\\[INST]", 0), (None, 5, "assistant", "z", 0), (3, None, "assistant", "", 0)]

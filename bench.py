@@ -22,7 +22,8 @@ HEADLINES = [
     "outliers_modified_z", "outliers_z", "spearman", "spearman_missing", "average_rank", "cramers_v", "correlation_ratio_missing", "anova_f",
     "class_balance", "vif_three", "associations", "leakage_number_target", "pca_variance", "kmeans_clusters", "f_classif", "chi2_feature",
     "histogram", "kde_curve_events", "count_bars", "regression_line", "violin_summary", "grouped_counts", "findings_statistics",
-    "merge_turns", "parse_responses", "recommendations", "scan_csv", "sample_rows", "table_fingerprint", "knn_graph_vectors", "umap_weights",
+    "merge_turns", "parse_responses", "recommendations", "scan_csv", "scan_csv_line_breaks", "sample_rows", "table_fingerprint",
+    "sketched_profile", "knn_graph_vectors", "knn_graph_approximate", "umap_weights",
     "tsne", "umap", "analyze_supervised", "analyze_unsupervised",
 ]
 

@@ -188,7 +188,7 @@ QUERIES = {
     "scan_parquet": lambda spark, d: tables.read_table(spark, f"{d}/orders.parquet"),
     "scan_csv": lambda spark, d: rounded(tables.read_table(spark, _orders_csv(spark, d), "csv")),
     "scan_csv_semicolon": lambda spark, d: rounded(tables.read_table(spark, _orders_csv(spark, d, ";"), "csv", ";")),
-    "scan_csv_line_breaks": lambda spark, d: tables.read_table(spark, as_csv(table(spark, d, "documents").select("doc_id", "text", "lang")), "csv", ","),
+    "scan_csv_line_breaks": lambda spark, d: tables.read_table(spark, as_csv(table(spark, d, "documents")), "csv", ","),
     "scan_csv_types": lambda spark, d: tables.read_table(spark, _orders_csv(spark, d), "csv").agg(
         *[F.max(F.typeof(c)).alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "note", "even")]),
     "detect_delimiter": _delimiters,
@@ -222,7 +222,7 @@ ORACLES = {
     "scan_parquet": "SELECT * FROM orders",
     "scan_csv": _CSV_SQL,
     "scan_csv_semicolon": _CSV_SQL,
-    "scan_csv_line_breaks": "SELECT doc_id, text, lang FROM documents",
+    "scan_csv_line_breaks": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "scan_csv_types": "SELECT 'bigint' AS o_orderkey, 'double' AS o_custkey, 'string' AS o_orderstatus, 'double' AS o_totalprice, 'string' AS note, 'boolean' AS even FROM orders LIMIT 1",
     "detect_delimiter": "SELECT s AS written, s AS found, n AS rows FROM (SELECT count(*) AS n FROM supplier), (SELECT unnest([',', ';', chr(9), '|']) AS s)",
     "scan_arrow": "SELECT * FROM customer",

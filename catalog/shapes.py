@@ -115,6 +115,7 @@ QUERIES = {
     "kmeans_clusters": lambda spark, d: cluster.kmeans_clusters(embedded(spark, d), EMBED, ["vec_id"]),
     "kmeans_cluster_sizes": lambda spark, d: cluster.kmeans_clusters(table(spark, d, "part"), ["p_size", "p_retailprice"], ["p_partkey"])
         .groupBy("cluster").agg(F.count("*").alias("n")),
+    "hue_column_clusters": lambda spark, d: cluster.hue_column(grouped_part(spark, d), ["p_partkey"], None, ["x", "y"]),
     "hue_column": lambda spark, d: cluster.hue_column(table(spark, d, "part"), ["p_partkey"], "p_type", []),
     "f_classif": lambda spark, d: rounded(features.f_classif(labelled(spark, d), "hue", ["price", "l_quantity", "seven"]).drop("p_value"), 4),
     "chi2_feature": lambda spark, d: rounded(features.chi2_feature(labelled(spark, d), "hue", ["line", "status"]).drop("p_value"), 4),
@@ -160,6 +161,7 @@ SELECT o_orderkey, {r('g * ((x - ax) * cos(t) + (y - ay) * sin(t))', 5)} AS pc1,
 SELECT CAST(1 AS BIGINT) AS component, {r('(1 + c) / 2')} AS ratio FROM k UNION ALL SELECT 2, {r('(1 - c) / 2')} FROM k""",
     "pca_embedding_two": f"""WITH z AS (SELECT o_orderkey, {_STD('o_totalprice')} AS a, {_STD('o_custkey')} AS b, corr(o_totalprice, o_custkey) OVER () AS c FROM orders)
 SELECT o_orderkey, {r('abs(a + CASE WHEN c < 0 THEN -b ELSE b END) / sqrt(2)', 4)} AS pc1, {r('abs(a - CASE WHEN c < 0 THEN -b ELSE b END) / sqrt(2)', 4)} AS pc2 FROM z""",
+    "hue_column_clusters": "SELECT p_partkey, CAST(p_size % 2 * 2 + (p_size // 2) % 2 AS INTEGER) AS hue FROM part",
     "hue_column": "SELECT p_partkey, p_type AS hue FROM part",
     "f_classif": f"SELECT column_name, {r('score', 4)} AS score FROM ({_F_SQL})",
     "chi2_feature": f"SELECT column_name, {r('score', 4)} AS score FROM ({_chi2_feature_sql()})",

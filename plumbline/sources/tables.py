@@ -114,7 +114,10 @@ def row_count(df: DataFrame) -> int:
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """Exactly n rows, or all of them if there are no more, the same on every run.
+    """Exactly n rows, or all of them if there are no more.
+
+    The same on every run where the keys tell the rows apart; where they repeat,
+    which copies are taken depends on how the table is laid out in files.
 
     Rows are ordered by a seeded digest of their key. A digest threshold first
     lets through little more than n rows. Where keys repeat, the threshold may

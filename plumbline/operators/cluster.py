@@ -59,14 +59,15 @@ def _drawn(vectors: DataFrame, seeds: list[np.ndarray], wanted: int, seed: int)
                 first = np.argsort(time, kind="stable")[:wanted]
                 best[i] = sorted([*best[i], *((float(time[j]), x[j].tolist()) for j in first if np.isfinite(time[j]))])[:wanted]
         rows = [(i, t, v) for i, found in enumerate(best) for t, v in found]
-        yield pd.DataFrame({"restart": [r[0] for r in rows], "time": [r[1] for r in rows], "v": [r[2] for r in rows]})
+        if rows:                      # a task may be empty, or hold nothing but copies of seeds
+            yield pd.DataFrame({"restart": [r[0] for r in rows], "time": [r[1] for r in rows], "v": [r[2] for r in rows]})
 
     found = vectors.mapInPandas(race, "restart int, time double, v array<double>").collect()       # wanted x restarts rows a task
     out = []
     for i, known in enumerate(seeds):
         first = sorted((r["time"], list(r["v"])) for r in found if r["restart"] == i)[:wanted]
-        fresh = np.array([v for _, v in first]).reshape(len(first), -1)
-        out.append(np.vstack([known, fresh]) if len(known) and len(fresh) else fresh if len(fresh) else known)
+        fresh = [v for _, v in first]
+        out.append(np.vstack([known, fresh]) if len(known) and fresh else np.array(fresh) if fresh else known)
     return out
 
 

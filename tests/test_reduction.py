@@ -95,6 +95,13 @@ def test_clusters_are_found_and_numbered_by_centre(spark, cloud):
     assert {r["cluster"] for r in cluster.kmeans_clusters(cloud, [], ["k"]).collect()} == {0}
 
 
+def test_tasks_without_new_seeds(spark):
+    """Empty tasks, and tasks that hold only copies of the seeds."""
+    df = spark.range(40, numPartitions=4).selectExpr("id AS k", "id div 20 * 5.0 AS a").repartitionByRange(8, "a")
+    rows = cluster.kmeans_clusters(df, ["a"], ["k"]).collect()
+    assert {(r["k"] // 20, r["cluster"]) for r in rows} == {(0, 0), (1, 1)} and len(rows) == 40
+
+
 def test_restarts_share_their_scans(spark, cloud, monkeypatch):
     """Rows are read once a round, however many runs there are, and the best of them is as good as any."""
     rng = np.random.default_rng(2)

@@ -6,6 +6,11 @@ then only those cells that the triangle inequality cannot rule out. Cells are
 searched in blocks of bounded size on both sides, and a task gives back only
 the k best per point and block. Equal points are searched once.
 
+Wide vectors rule out hardly any cell. Where sending points to the cells they
+ask for would move more rows than sending all points past every share of the
+queries, the latter is done: a task holds one share with its k best so far, the
+points stream by in batches, and rows move once per share, not once per cell.
+
 Distances are compared at nine decimals and ties go to the smaller key.
 """
 
@@ -27,6 +32,10 @@ POINTS_PER_PIVOT = 512
 MOST_PIVOTS = 16_384
 BLOCK = 1024           # points per data block
 QUERIES = 4096         # queries per task and data block
+SHARES = 24            # shares of the queries when all points stream by them, unless a share would get too large
+SHARE_VALUES = 1 << 21 # numbers held of the queries of a share
+CHUNK = 512            # queries compared at once with a batch of points
+MATRIX = 1 << 20       # distances to pivots computed at once
 DECIMALS = 9
 SLACK = 4e-9
 
@@ -92,23 +101,101 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
 
 
+class _Nearest:
+    """The k best of a share of queries among the points seen so far, none farther than the queries' bounds."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bounds: np.ndarray, k: int):
+        self.ids, self.vectors, self.limit, self.k = ids, vectors, bounds.astype(float), k
+        self.norm = (vectors * vectors).sum(1)
+        self.found = [(np.zeros(0, dtype=int), ids[:0], np.zeros(0)) for _ in range(0, len(ids), CHUNK)]
+
+    def see(self, point_ids: np.ndarray, points: np.ndarray) -> None:
+        square = (points * points).sum(1)
+        for c, start in enumerate(range(0, len(self.ids), CHUNK)):
+            x, ids, limit = (a[start:start + CHUNK] for a in (self.vectors, self.ids, self.limit))
+            norm = self.norm[start:start + CHUNK]
+            rough = x @ points.T
+            rough *= -2
+            rough += square
+            # rough distances only shortlist; those that count are computed again
+            most = limit ** 2 + 1e-9 * (norm + square.max()) + SLACK * (1 + limit) - norm
+            if not np.isfinite(limit).all() and rough.shape[1] > self.k:
+                kth = np.partition(rough, self.k, axis=1)[:, self.k]           # the point itself may be in the batch
+                own = np.maximum(0.0, kth + norm)
+                most = np.minimum(most, kth + 1e-9 * (norm + square.max()) + SLACK * (1 + np.sqrt(own)))
+            near, at = np.nonzero(rough <= most[:, None])
+            other = ids[near] != point_ids[at]
+            near, at = near[other], at[other]
+            if not len(near):
+                continue
+            distance = np.concatenate([
+                np.round(np.sqrt(((x[near[i:i + MATRIX // 8]] - points[at[i:i + MATRIX // 8]]) ** 2).sum(1)), DECIMALS) for i in range(0, len(near), MATRIX // 8)])
+            q, n, d = (np.concatenate(pair) for pair in zip(self.found[c], (near, point_ids[at], distance)))
+            order = np.lexsort((np.unique(n, return_inverse=True)[1], d, q))
+            q, n, d = q[order], n[order], d[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            self.found[c] = q[place < self.k], n[place < self.k], d[place < self.k]
+            last = place == self.k - 1
+            limit[q[last]] = np.minimum(limit[q[last]], d[last])               # a view of self.limit
+
+    def frames(self):
+        for start, (q, n, d) in zip(range(0, len(self.ids), CHUNK), self.found):
+            yield pd.DataFrame({"query": self.ids[start + q], "neighbour": n, "distance": d})
+
+
+def _streamed(asking: DataFrame, points: DataFrame, shares: int, k: int, key_type: str) -> DataFrame:
+    """(query, neighbour, distance): the k best of all points for every row of
+    `asking` (id, vector, bound); all points pass every share of the queries."""
+    share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shares)).cast("int")
+    queries = asking.select(share.alias("share"), F.lit(0).alias("kind"), "id", "vector", "bound")
+    passing = points.select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(1).alias("kind"),
+                            "id", "vector", F.lit(None).cast("double").alias("bound"))
+
+    def run(batches):
+        at, held, best = None, [], None
+        for frame in batches:
+            for number, rows in frame.groupby("share"):                        # in order, as the rows are
+                if number != at:
+                    if best is not None:
+                        yield from best.frames()
+                    at, held, best = number, [], None
+                kind = rows["kind"].to_numpy()
+                if (kind == 0).any():
+                    held.append(rows[kind == 0])
+                if (kind == 1).any() and held:
+                    if best is None:
+                        q = pd.concat(held)
+                        best = _Nearest(q["id"].to_numpy(), _vectors(q["vector"]), q["bound"].to_numpy(), k)
+                    best.see(rows["id"].to_numpy()[kind == 1], _vectors(rows["vector"][kind == 1]))
+        if best is not None:
+            yield from best.frames()
+
+    rows = queries.unionByName(passing).repartitionById(shares, F.col("share")).sortWithinPartitions("share", "kind")
+    return rows.mapInPandas(run, f"query {key_type}, neighbour {key_type}, distance double")
+
+
+def _slices(batches, pivots: int):
+    """Batches so small that their distances to all pivots fit."""
+    step = max(1, MATRIX // pivots)
+    for frame in batches:
+        for start in range(0, len(frame), step):
+            yield frame.iloc[start:start + step]
+
+
 def _distinct_neighbours(points: DataFrame, k: int, key_type: str) -> DataFrame:
     """(query, neighbour, distance) between points that all differ: (id, vector)."""
-    total = points.count()
+    first = points.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    total, width = first["n"], max(1, first["width"] or 0)
     pivots_wanted = max(1, min(MOST_PIVOTS, total // POINTS_PER_PIVOT))
     chosen = points.orderBy(F.xxhash64("id"), "id").limit(pivots_wanted).select("vector").collect()
     pivots = np.array([r["vector"] for r in chosen], dtype=float)
     shared = points.sparkSession.sparkContext.broadcast(pivots)           # at most MOST_PIVOTS vectors
 
     def assign(batches):
-        for frame in batches:
-            if frame.empty:
-                continue
-            d = _squared(_vectors(frame["vector"]), shared.value)
-            frame["cell"] = d.argmin(1).astype("int32")
-            own = shared.value[frame["cell"].to_numpy()]
-            frame["reach"] = np.sqrt(((_vectors(frame["vector"]) - own) ** 2).sum(1))
-            yield frame
+        for frame in _slices(batches, len(shared.value)):
+            vectors = _vectors(frame["vector"])
+            cell = _squared(vectors, shared.value).argmin(1).astype("int32")
+            yield frame.assign(cell=cell, reach=np.sqrt(((vectors - shared.value[cell]) ** 2).sum(1)))
 
     data = cut(points.mapInPandas(assign, f"id {key_type}, vector array<double>, cell int, reach double"), "cells")
     stats = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius")).collect()
@@ -121,34 +208,51 @@ def _distinct_neighbours(points: DataFrame, k: int, key_type: str) -> DataFrame:
     bound = inside.groupBy("query").agg(F.max("distance").alias("bound"), F.count("*").alias("found"))
     asking = (data.join(bound, F.col("id") == F.col("query"), "left")
               .select("id", "vector", "cell", F.when(F.col("found") == k, F.col("bound")).otherwise(float("inf")).alias("bound")))
+    asking = cut(asking, "asking")
     radius = np.full(len(pivots), -np.inf)
     for r in stats:
         radius[r["cell"]] = r["radius"]
     radii = points.sparkSession.sparkContext.broadcast(radius)
 
+    def asks(frame: pd.DataFrame) -> np.ndarray:
+        """For every row, whether another cell may hold a nearer point."""
+        own = frame["cell"].to_numpy()
+        d2 = _squared(_vectors(frame["vector"]), shared.value)
+        d = np.sqrt(d2)
+        between = np.sqrt(_squared(shared.value[own], shared.value))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(between > 0, (d2 - d2[np.arange(len(own)), own][:, None]) / (2 * between), 0.0)
+        least = np.maximum(d - radii.value[None, :], plane)
+        ask = (least <= frame["bound"].to_numpy()[:, None] + 1e-7 * (1 + d)) & np.isfinite(radii.value)[None, :]
+        ask[np.arange(len(own)), own] = False
+        return ask
+
+    def count(batches):
+        found = np.zeros(len(shared.value), dtype=np.int64)
+        for frame in _slices(batches, len(shared.value)):
+            found += asks(frame).sum(0)
+        cells = np.flatnonzero(found)
+        if len(cells):
+            yield pd.DataFrame({"cell": cells.astype("int32"), "n": found[cells]})
+
     def elsewhere(batches):
         """One row per other cell that may hold a nearer point."""
-        for frame in batches:
-            if frame.empty:
-                continue
-            v, own = _vectors(frame["vector"]), frame["cell"].to_numpy()
-            d2 = _squared(v, shared.value)
-            d = np.sqrt(d2)
-            between = np.sqrt(_squared(shared.value[own], shared.value))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(between > 0, (d2 - d2[np.arange(len(own)), own][:, None]) / (2 * between), 0.0)
-            least = np.maximum(d - radii.value[None, :], plane)
-            margin = 1e-7 * (1 + d)
-            ask = (least <= frame["bound"].to_numpy()[:, None] + margin) & np.isfinite(radii.value)[None, :]
-            ask[np.arange(len(own)), own] = False
-            i, j = np.nonzero(ask)
-            yield pd.DataFrame({"cell": j.astype("int32"), "query": frame["id"].to_numpy()[i], "vector": frame["vector"].to_numpy()[i]})
-
-    asked = cut(asking.mapInPandas(elsewhere, f"cell int, query {key_type}, vector array<double>"), "asked")
-    wanted = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
+        for frame in _slices(batches, len(shared.value)):
+            ids, vectors = frame["id"].to_numpy(), frame["vector"].to_numpy()
+            at, cells = np.nonzero(asks(frame))
+            for start in range(0, len(at), QUERIES):
+                i, j = at[start:start + QUERIES], cells[start:start + QUERIES]
+                yield pd.DataFrame({"cell": j.astype("int32"), "query": ids[i], "vector": vectors[i]})
+
+    wanted = {r["cell"]: r["n"] for r in asking.mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     found = inside.select("query", "neighbour", "distance")
-    if wanted:
-        found = found.unionByName(_search(asked, data, sizes, wanted, k, key_type))
+    if not wanted:
+        return found
+    shares = -(-total // max(BLOCK, min(SHARE_VALUES // width, total // SHARES)))
+    if sum(n * -(-sizes[c] // BLOCK) for c, n in wanted.items()) > total * (shares + 1):
+        return _streamed(asking, data, shares, k, key_type)
+    asked = cut(asking.mapInPandas(elsewhere, f"cell int, query {key_type}, vector array<double>"), "asked")
+    found = found.unionByName(_search(asked, data, sizes, wanted, k, key_type))
     return _best(found, k).select("query", "neighbour", "distance")
 
 

@@ -203,6 +203,27 @@ def test_approximate_neighbours(spark):
     assert all([x[0] for x in sorted(v)] == list(range(1, 9)) and [x[1] for x in sorted(v)] == sorted(x[1] for x in v) and i not in [x[2] for x in v] for i, v in by.items())
 
 
+def test_wide_vectors_do_not_travel_to_every_cell(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(300, 24)), rng.integers(0, 2, size=(300, 24))]).astype(float)
+    df = spark.createDataFrame([(f"p{i:03d}", v.tolist()) for i, v in enumerate(x)], "k string, v array<double>")
+    written = {}
+
+    def recorded(table, label):
+        out = cut(table, label)
+        written[label] = out.count()
+        return out
+
+    for name, value in {"cut": recorded, "POINTS_PER_PIVOT": 16, "BLOCK": 64, "CHUNK": 32, "MATRIX": 1000}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    found = neighbours.knn_graph(df, "v", "k", 7).collect()
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    d[np.arange(600), np.arange(600)] = np.inf
+    best = np.argsort(d, axis=1, kind="stable")[:, :7]
+    assert {(r["id"], r["rank"], r["neighbour"]) for r in found} == {(f"p{i:03d}", j + 1, f"p{n:03d}") for i, row in enumerate(best) for j, n in enumerate(row)}
+    assert len(found) == 4200 and max(written.values()) <= 7 * 600
+
+
 def test_candidates_are_bounded(spark):
     """Leaves hold at most twice their size, centres gather at most k + reverse + 1 points, hubs too."""
     rng = np.random.default_rng(4)

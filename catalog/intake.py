@@ -55,6 +55,9 @@ def write_arrow(df):
     return folder
 
 
+BOOK_ROWS = 50_000         # a sheet has at most 1,048,576
+
+
 def _sheet(frame: pd.DataFrame) -> bytes:
     """A minimal workbook: shared texts, numbers, booleans."""
     shared: dict[str, int] = {}
@@ -84,15 +87,18 @@ def _sheet(frame: pd.DataFrame) -> bytes:
 
 
 def write_workbooks(df, by):
-    """One workbook per value of `by`, a column of few rows per value."""
+    """One workbook per value of `by`; of a table of more than BOOK_ROWS rows as
+    many per value as keep a workbook, made and read by one task, at about that size."""
     folder = scratch_path(df.sparkSession, "workbooks")
+    books = -(-df.count() // BOOK_ROWS) or 1
 
     def save(key, frame):
-        with create_file(f"{folder}/{key[0]}.xlsx") as sink:
-            sink.write(_sheet(frame.drop(columns=[by])))
-        return pd.DataFrame({"name": [str(key[0])]})
+        name = f"{key[0]}" if books == 1 else f"{key[0]}-{key[1]}"
+        with create_file(f"{folder}/{name}.xlsx") as sink:
+            sink.write(_sheet(frame.drop(columns=[by, "_book"])))
+        return pd.DataFrame({"name": [name]})
 
-    df.groupBy(by).applyInPandas(save, "name string").count()
+    df.withColumn("_book", F.pmod(F.xxhash64(*df.columns), F.lit(books))).groupBy(by, "_book").applyInPandas(save, "name string").count()
     return folder
 
 

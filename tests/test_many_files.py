@@ -1,10 +1,13 @@
 """Arrow files and workbooks of many schemas, read without a loop on the driver."""
 
+import gc
 import os
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 
+from catalog import intake
 from catalog.intake import write_workbooks
 from plumbline import InputError, read_table
 from plumbline.sources import arrow, listing, workbook
@@ -62,3 +65,17 @@ def test_the_data_sources_still_read(spark, folder):
     spark.dataSource.register(workbook.Workbooks)
     books = write_workbooks(spark.range(30).selectExpr("id", "cast(id % 3 as string) as t"), "t")
     assert spark.read.format("plumbline_workbooks").load(books).count() == read_table(spark, books, "workbook").count() == 30
+
+
+def test_workbooks_are_bounded_and_read_as_a_stream(spark, monkeypatch):
+    monkeypatch.setattr(intake, "BOOK_ROWS", 100)
+    books = write_workbooks(spark.range(1000).selectExpr("id", "'v' AS t"), "t")
+    paths = [f"{books}/{name}" for name in os.listdir(books) if name.endswith(".xlsx")]
+    assert max(sum(1 for _ in workbook.sheet_rows(p)) for p in paths) < 200
+    assert read_table(spark, books, "workbook").selectExpr("sum(id)", "count(*)").first()[:] == (499500, 1000)
+    one = f"{books}/one.xlsx"
+    with open(one, "wb") as sink:
+        sink.write(intake._sheet(pd.DataFrame({"a": range(3000)})))
+    rows = workbook.sheet_rows(one)
+    held = [sum(type(x).__name__ == "Element" for x in gc.get_objects()) for i, _ in enumerate(rows) if i % 1000 == 0]
+    assert len(held) == 4 and held[-1] < held[0] + 1500

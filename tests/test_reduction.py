@@ -203,6 +203,16 @@ def test_approximate_neighbours(spark):
     assert all([x[0] for x in sorted(v)] == list(range(1, 9)) and [x[1] for x in sorted(v)] == sorted(x[1] for x in v) and i not in [x[2] for x in v] for i, v in by.items())
 
 
+def test_approximate_search_goes_on_until_a_sample_is_found(spark):
+    """Directions all alike: few candidates miss most neighbours, so that more have to be kept."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 48)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "k long, v array<float>")
+    exact = cut(neighbours.knn_graph(df, "v", "k", 10), "exact")
+    found = forest.knn_graph_approximate(df, "v", "k", 10, forest.Search(trees=2, leaf=64, keep=10, reverse=5, rounds=3))
+    assert forest.recall(found, exact).first()["recall"] >= 0.93
+
+
 def test_wide_vectors_do_not_travel_to_every_cell(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(size=(300, 24)), rng.integers(0, 2, size=(300, 24))]).astype(float)

@@ -63,6 +63,22 @@ def test_spearman_of_all_pairs(spark, many_stretches):
         assert (r["p_value"] is None) == bool(undefined)
 
 
+@pytest.mark.parametrize("few", [0, 60, 1 << 16])
+def test_columns_of_few_values_are_not_dealt(spark, many_stretches, monkeypatch, few):
+    """Ranked by counts or by order, or some by each, the correlations are alike; what has few values meets no range shuffle."""
+    data, dealt = frame(), []
+    monkeypatch.setattr(ranking, "FEW", few)
+    plain = ranking.stretches
+    monkeypatch.setattr(ranking, "stretches", lambda sides, partners=None: dealt.extend(partners) or plain(sides, partners))
+    cols = ["x", "tied", "hot", "flat", "gap2", "zero", "far"]
+    for r in associations.spearman(loaded(spark, data), cols).collect():
+        both = data[[r["col_a"], r["col_b"]]].dropna().rank()
+        undefined = (both.std() == 0).any()
+        assert r["value"] == pytest.approx(0.0 if undefined else both.corr().iloc[0, 1], abs=1e-12) and r["n"] == len(both)
+    # seven whole columns and sides, then six beside the gaps
+    assert len(dealt) == {0: 13, 60: 4, 1 << 16: 0}[few]
+
+
 def test_partners_with_the_same_gaps_share_ranks(spark):
     data = frame(200)
     rows = ranking.numbered_rows(loaded(spark, data).withColumnRenamed("row", "other"))

@@ -213,6 +213,29 @@ def test_approximate_search_goes_on_until_a_sample_is_found(spark):
     assert forest.recall(found, exact).first()["recall"] >= 0.93
 
 
+def test_search_among_floats_gives_exact_distances(spark):
+    x = np.random.default_rng(9).normal(size=(400, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    found = forest.knn_graph_approximate(df, "v", "k", 5, forest.Search(trees=2, leaf=40, floats=True)).collect()
+    assert len(found) == 2000
+    assert all(r["distance"] == round(float(np.sqrt(((x[r["id"]] - x[r["neighbour"]]) ** 2).sum())), 9) for r in found)
+
+
+def test_edges_travel_as_one_row_of_each_point(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, j, float(i + j)) for i in range(40) for j in range(40) if i != j], "id long, neighbour long, weight double")
+    seen = []
+
+    class Still:
+        def run(self, own, turn, rounds):
+            assert len(own.weight) == 40 * 39 and np.allclose(np.sort(np.bincount(own.of, own.weight)), 780 + 38 * np.arange(40))
+            return own.state
+
+    plain = descent.exchanged
+    monkeypatch.setattr(descent, "exchanged", lambda links, *rest: seen.append(links.count()) or plain(links, *rest))
+    assert descent.settle(edges, plane(spark, np.random.default_rng(2).normal(size=(40, 2))), 40, Still(), [1]).count() == 40
+    assert seen == [40]
+
+
 def test_wide_vectors_do_not_travel_to_every_cell(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(size=(300, 24)), rng.integers(0, 2, size=(300, 24))]).astype(float)

@@ -31,7 +31,9 @@ ship(__name__)
 
 OUTSIDE, INSIDE = 0, 1
 QUOTE = '"'
-RECORDS = 20_000          # records of one Arrow batch
+RECORDS = 20_000          # records of one Arrow batch, at most
+CHARS = 1 << 21           # characters that close a batch before
+LINES = 512               # lines of a batch that are Python texts at once
 
 
 def after_line(line: str, state: int, sep: str) -> int:
@@ -72,9 +74,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[in
     """(file, block, line or path, first of its block) of every row."""
     last = None
     for batch in batches:
-        for file, block, text in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column(column).to_pylist()):
-            yield file, block, text, (file, block) != last
-            last = file, block
+        for start in range(0, batch.num_rows, LINES):
+            some = batch.slice(start, LINES)
+            for file, block, text in zip(some.column("file").to_pylist(), some.column("block").to_pylist(), some.column(column).to_pylist()):
+                yield file, block, text, (file, block) != last
+                last = file, block
 
 
 def _steps(lines: DataFrame, sep: str) -> DataFrame:
@@ -128,16 +132,21 @@ def _assembled(batches: Iterator[pa.RecordBatch], borders: dict[tuple[int, int],
     held: list[str] = []
     state, header, opened, goes_on = OUTSIDE, False, 0, False
     file = block = -1
+    chars = 0                                             # in `out`
 
     def close(whole: bool) -> None:
+        nonlocal chars
         piece = not whole or opened != block
         if held and piece == pieces and (piece or not header):
             out.append((file, opened, block, header, "\n".join(held)))
+            chars += len(out[-1][4])
 
     def flush() -> pa.RecordBatch:
+        nonlocal chars
         kinds = (("file", pa.int64()), ("opened", pa.int64()), ("block", pa.int64()), ("header", pa.bool_()), ("text", pa.string()))
         batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
         out.clear()
+        chars = 0
         return batch
 
     for now_file, now_block, line, new in _blocks(batches, "value"):
@@ -153,7 +162,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], borders: dict[tuple[int, int],
         if state == OUTSIDE:
             close(True)
             held, opened, header = [], block, False
-            if len(out) >= RECORDS:
+            if len(out) >= RECORDS or chars >= CHARS:
                 yield flush()
     close(not goes_on)
     yield flush()

@@ -100,3 +100,13 @@ def test_state_of_a_line():
 
 def test_names_of_columns():
     assert delimited._cells('a,,A,"x\ny",b', ",") == ["a0", "_c1", "A2", "x\ny", "b"]
+
+
+def test_long_records_fill_no_batch_without_bound():
+    """Batches close by their characters, too, and hold the same records."""
+    lines = ["name,note"] + [f'{i},"{"x" * 40_000}' if i % 2 else '""y"' for i in range(1, 401)]
+    column = lambda values, kind: delimited.pa.array(values, kind)
+    batch = delimited.pa.RecordBatch.from_arrays([column([1] * len(lines), delimited.pa.int64()), column([0] * len(lines), delimited.pa.int64()), column(lines, delimited.pa.string())], names=["file", "block", "value"])
+    made = [b.column("text").to_pylist() for b in delimited._assembled(iter([batch]), {}, ",", False)]
+    assert [t for b in made for t in b] == [f"{a}\n{b}" for a, b in zip(lines[1::2], lines[2::2])]
+    assert max(sum(map(len, b)) for b in made) < 3_000_000

@@ -44,17 +44,19 @@ def current_files(spark: SparkSession, path: str) -> DataFrame:
 def sketched(df: DataFrame) -> DataFrame:
     """The sketches of every file and column of a read of files, from one scan."""
     kinds = {c: k for c, k in families(df).items() if k != "nested"}
-    cells = []
-    for name, kind in kinds.items():
+    # every column has its own aggregates: one row per cell would cost more than the sketches
+    inputs, sketches = [], []
+    for i, (name, kind) in enumerate(kinds.items()):
         text = known(name, kind).cast("string")
         number = as_number(name, kind) if kind in NUMBERS else F.lit(None)
-        cells.append(F.struct(F.lit(name).alias("column_name"), text.alias("text"), number.cast("double").alias("number")))
-    long = df.select(*_identity(), F.explode(F.array(*cells)).alias("cell")).select("file", "cell.*")
-    item = F.when(F.octet_length("text") <= LONGEST_ITEM, F.col("text"))
-    return long.withColumn("item", item).groupBy("file", "column_name").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("text").alias("present"), F.sum("number").alias("number_sum"), F.min("number").alias("least"), F.max("number").alias("most"),
-        F.hll_sketch_agg("text", DISTINCT_BITS).alias("distinct"), F.kll_sketch_agg_double("number", QUANTILE_SIZE).alias("ranks"),
-        F.expr(f"approx_top_k_accumulate(item, {ITEMS})").alias("items")).select(*KEPT)
+        inputs += [text.alias(f"text{i}"), number.cast("double").alias(f"number{i}"), F.when(F.octet_length(text) <= LONGEST_ITEM, text).alias(f"item{i}")]
+        sketches.append(F.struct(
+            F.lit(name).alias("column_name"), F.count(F.lit(1)).alias("rows"), F.count(f"text{i}").alias("present"),
+            F.sum(f"number{i}").alias("number_sum"), F.min(f"number{i}").alias("least"), F.max(f"number{i}").alias("most"),
+            F.hll_sketch_agg(f"text{i}", DISTINCT_BITS).alias("distinct"), F.kll_sketch_agg_double(f"number{i}", QUANTILE_SIZE).alias("ranks"),
+            F.expr(f"approx_top_k_accumulate(item{i}, {ITEMS})").alias("items")).alias(f"column{i}"))
+    wide = df.select(*_identity(), *inputs).groupBy("file").agg(*sketches)
+    return wide.select("file", F.explode(F.array(*[f"column{i}" for i in range(len(kinds))])).alias("column")).select("file", "column.*").select(*KEPT)
 
 
 def stored(spark: SparkSession, root: str) -> DataFrame | None:

@@ -51,3 +51,13 @@ def test_changed_and_deleted_files(spark, folder):
     os.makedirs(f"{folder}/none")
     with pytest.raises(InputError):
         sketches.sketched_profile(spark, f"{folder}/none", f"{folder}/other")
+
+
+def test_cells_are_not_rows_of_their_own(spark, folder):
+    """Rows reach the sketches as they are; only finished sketches are unfolded into columns."""
+    spark.createDataFrame([(i, f"t{i % 3}", None if i % 2 else 0.5) for i in range(20)], "id long, t string, x double").write.parquet(f"{folder}/data")
+    made = sketches.sketched(spark.read.parquet(f"{folder}/data"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") == 1
+    found = {r["column_name"]: r for r in made.groupBy("column_name").agg({"rows": "sum", "present": "sum", "number_sum": "sum"}).collect()}
+    assert {c: (r["sum(rows)"], r["sum(present)"], r["sum(number_sum)"]) for c, r in found.items()} == {"id": (20, 20, 190.0), "t": (20, 20, None), "x": (20, 10, 5.0)}

@@ -273,6 +273,18 @@ def test_scores_are_those_of_the_definition(spark, docs):
     assert scoring.scored(fx.empty(spark)).count() == 0
 
 
+def test_scoring_moves_byte_strings_packed(spark):
+    keys = np.unique(np.concatenate([scoring.strings(t.encode(), 5) for t in ("some words of a text", "", "é")]))
+    counts = np.array([0, 255, 256, 1 << 40])
+    assert (scoring.unpacked_keys(scoring.packed_keys(keys, 5), 5) == keys).all()
+    assert (scoring.unpacked_counts(scoring.packed_counts(counts), 4) == counts).all()
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tally = scoring.tallies(scoring.chunked(texts, 1 << 20), 5).filter("word is null")
+    chunks, rows, grams = tally.selectExpr("count(distinct chunk)", "count(*)", "sum(length(grams)) / 6").first()
+    # a row for each bucket of a chunk, not one for each of its byte strings
+    assert chunks > 1 and rows <= chunks << scoring.BUCKET_BITS and grams > 20 * rows
+
+
 def test_held_out_texts_are_coded_better_than_by_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 3000")
     score, base = scoring.scored(docs).filter("held_out").selectExpr("sum(score)", "sum(base_score)").first()

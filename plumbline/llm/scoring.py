@@ -53,6 +53,8 @@ PIECE = 1 << 18
 BATCH_BYTES = 4 << 20
 #: Text bytes of a chunk (one longer text is a chunk of its own).
 CHUNK_BYTES = 16 << 20
+#: Byte strings whose scores are looked up together.
+TOGETHER = 1 << 20
 #: Ends a text, and stands before its first byte; no UTF-8 text holds it.
 EDGE = 0xFF
 #: Stands for the end token among the words.
@@ -419,6 +421,18 @@ def string_scores(tally: DataFrame, depth: int) -> DataFrame:
     return mapped(dealt, lambda batches: batched(rows(batches), _VALUES), "chunk long, grams binary, logs binary")
 
 
+def string_sums(texts: list[tuple[int, np.ndarray]], bits: int, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The sum of the `logs` of each text's byte strings; `texts`: number (fits `bits`) and byte strings, all of them among the sorted `keys`.
+
+    Sorted strings are found in one pass over the keys, each different one once; the numbers ride in the low bits."""
+    marked = np.concatenate([strings_ << bits | number for number, strings_ in texts])
+    marked.sort()
+    own = marked >> bits
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    found = logs[np.searchsorted(keys, own[starts])]
+    return np.bincount(marked & (1 << bits) - 1, weights=np.repeat(found, np.diff(starts, append=len(own))))
+
+
 def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores of all documents by models of the training documents."""
     rows = chunked(docs, chunk_bytes)
@@ -431,6 +445,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
     known = (words.select("chunk", "word", "c", none.cast("binary").alias("grams"), none.cast("binary").alias("logs"))
              .unionByName(string_scores(tally, depth).withColumns({"word": none.cast("binary"), "c": none.cast("long")})))
     base = math.log10(total + kinds + 1)
+    bits = min(15, 63 - 8 * (depth + 1))                                       # left by a byte string for the number of its text
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
         is_word = values.column("word").is_valid()
@@ -441,14 +456,33 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
         logs = np.concatenate([unpacked(v, 8).view("<f8") for v in own_grams.column("logs").to_pylist()])
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
-        out = []
+        out, sums, waiting, size = [], [], [], 0
+
+        def settle() -> None:
+            nonlocal size
+            first = waiting[0][0]
+            for number, value in enumerate(string_sums([(i - first, part) for i, part in waiting], bits, keys, logs).tolist(), first):
+                sums[number] += value
+            waiting.clear()
+            size = 0
+
         for doc_id, raw, held in (row for packed_rows in texts.column("block").to_pylist() for row in rows_of(packed_rows)):
             raw = raw.lower()
             tokens = raw.split()
             tokens.append(END)
             found = np.fromiter(map(value_of.__getitem__, tokens), dtype=np.float64, count=len(tokens))
-            value = float(logs[np.searchsorted(keys, strings(raw, depth))].sum())
-            out.append((doc_id, held, len(tokens), int(np.count_nonzero(found)), total, float(found.sum()) - len(tokens) * base, value, -value / math.log10(2) / (len(raw) + 1)))
+            out.append((doc_id, held, len(tokens), int(np.count_nonzero(found)), total, float(found.sum()) - len(tokens) * base, len(raw) + 1))
+            sums.append(0.0)
+            own = strings(raw, depth)
+            for start in range(0, len(own), TOGETHER):
+                part = own[start:start + TOGETHER]
+                if waiting and (size + len(part) > TOGETHER or len(out) - waiting[0][0] > 1 << bits):
+                    settle()
+                waiting.append((len(out) - 1, part))
+                size += len(part)
+        if waiting:
+            settle()
+        out = [(*row, value, -value / math.log10(2) / size) for (*row, size), value in zip(out, sums)]
         kinds_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds_)], names=names)

@@ -273,6 +273,25 @@ def test_scores_are_those_of_the_definition(spark, docs):
     assert scoring.scored(fx.empty(spark)).count() == 0
 
 
+def test_scores_are_looked_up_by_sorted_strings(spark, monkeypatch):
+    """Each different string of some texts is searched once, in order; long texts come in parts."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 101, size=n).astype(np.uint8)) for n in (0, 4000, 1, 700, 0, 2500)]
+    parts = [scoring.strings(raw, 5) for raw in texts]
+    keys = np.unique(np.concatenate([*parts, scoring.strings(b"others", 5)]))
+    logs = rng.normal(size=len(keys))
+    search, asked = np.searchsorted, []
+    monkeypatch.setattr(scoring.np, "searchsorted", lambda known, wanted: asked.append(wanted) or search(known, wanted))
+    sums = scoring.string_sums(list(enumerate(parts)), 15, keys, logs)
+    monkeypatch.undo()
+    assert sums == pytest.approx([logs[search(keys, p)].sum() for p in parts])
+    assert (np.diff(asked[0]) > 0).all() and len(asked[0]) < sum(map(len, parts)) / 2
+    rows = spark.createDataFrame([(i, raw.decode()) for i, raw in enumerate(texts)], "doc_id long, text string")
+    want = {r.doc_id: r.score for r in scoring.scored(rows, depth=2).collect()}
+    monkeypatch.setattr(scoring, "TOGETHER", 300)
+    assert {r.doc_id: r.score for r in scoring.scored(rows, depth=2).collect()} == pytest.approx(want)
+
+
 def test_scoring_moves_byte_strings_packed(spark):
     keys = np.unique(np.concatenate([scoring.strings(t.encode(), 5) for t in ("some words of a text", "", "é")]))
     counts = np.array([0, 255, 256, 1 << 40])

@@ -336,3 +336,20 @@ def test_tiny_layouts(spark):
         for made in (layout.umap(df, ["a", "b"], "k", rounds=2, exact=True), layout.tsne(df, ["a", "b"], "k", iterations=2)):
             assert sorted(r["k"] for r in made.collect()) == [r[0] for r in rows]
             assert np.isfinite(made.drop("k").toPandas().to_numpy()).all()
+
+
+def test_tsne_takes_large_blocks(spark, cloud, monkeypatch):
+    """Neighbours outside a block stand still between exchanges; forces are computed a bounded number at once."""
+    taken = []
+    monkeypatch.setattr(layout, "settle", lambda edges, start, rows, law, schedule, block: taken.append(block) or start)
+    assert layout.tsne(reduce.prepared(cloud, COLS, ["k"]), COLS, "k", exact=True).count() == 90 and taken[0] >= 2000
+    assert descent.sub_of(256) == descent.SUB < descent.sub_of(taken[0])
+    rng = np.random.default_rng(11)
+    y, cells = rng.normal(size=(70, 2)) + 40, np.column_stack([rng.integers(1, 9, size=30), rng.normal(size=(30, 2)) * 9])
+    gap = y[:, None] - np.vstack([y, cells[:, 1:]])[None]
+    kernel = 1 / (1 + (gap * gap).sum(2))
+    count = np.concatenate([np.ones(70), cells[:, 0]])
+    monkeypatch.setattr(layout, "MATRIX", 1000)
+    push, z = layout.repulsion(y, cells)
+    assert np.allclose(push, ((kernel ** 2 * count)[:, :, None] * gap).sum(1)) and np.allclose(z, kernel @ count - 1)
+    assert layout.repulsion(np.full((1, 2), 3.7), np.zeros((0, 3)))[1].tolist() == [0.0]

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +214,40 @@ def test_approximate_search_goes_on_until_a_sample_is_found(spark):
     assert forest.recall(found, exact).first()["recall"] >= 0.93
 
 
+def test_further_trees_do_without_descent(spark, monkeypatch):
+    """Leaves of a share of the points: the recall asks for more trees, and vectors do not move to every neighbour."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 48)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "k long, v array<float>")
+    monkeypatch.setattr(forest, "gathered", lambda *rest: pytest.fail("descent"))
+    grown, plain = [], forest.leaves
+    monkeypatch.setattr(forest, "leaves", lambda points, total, width, search: grown.append(search.trees) or plain(points, total, width, search))
+    found = cut(forest.knn_graph_approximate(df, "v", "k", 10, forest.Search(trees=2, leaf=800)), "found")
+    assert len(grown) > 1 and sum(grown) <= forest.Search().most_trees
+    row = forest.recall(found, cut(neighbours.knn_graph(df, "v", "k", 10), "exact")).first()
+    assert (row["points"], row["neighbours"]) == (3000, 30000) and row["recall"] >= 0.93
+
+
+@pytest.mark.parametrize("far, scale", [(0.0, 1.0), (1e6, 1e-2), (1e25, 1e24)])
+def test_shortlists_miss_nothing(far, scale, monkeypatch):
+    """Products in floats where they are near enough, in doubles else; ties go to the smaller key."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(700, 20)), rng.integers(0, 2, size=(300, 20))]) * scale + far
+    monkeypatch.setattr(neighbours, "CHUNK", 128)
+    monkeypatch.setattr(neighbours, "FIRST", 64)
+    ids = rng.permutation(1000)
+    nearest = neighbours._Nearest(ids, x, np.full(1000, np.inf), 6)
+    for part in np.array_split(np.arange(1000), 3):
+        nearest.see(ids[part], x[part])
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    d[np.arange(1000), np.arange(1000)] = np.inf
+    best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :6]
+    found = {}
+    for batch in nearest.lists(pa.int64()):
+        found |= {r["query"]: r["neighbours"] for r in batch.to_pylist()}
+    assert found == {int(ids[i]): ids[row].tolist() for i, row in enumerate(best)}
+
+
 def test_search_among_floats_gives_exact_distances(spark):
     x = np.random.default_rng(9).normal(size=(400, 6))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")

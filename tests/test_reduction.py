@@ -1,6 +1,7 @@
 """Preparation, components, clusters, charts and layouts."""
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import cluster, descent, forest, layout, neighbours, plotdata, profile, reduce, vectors
-from plumbline.session import InputError, cut
+from plumbline.session import InputError, Rewritten, cut
 from plumbline.settings import Settings
 
 
@@ -248,6 +249,25 @@ def test_shortlists_miss_nothing(far, scale, monkeypatch):
     assert found == {int(ids[i]): ids[row].tolist() for i, row in enumerate(best)}
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """An iteration writes a table an exchange: what was shuffled for it goes with it."""
+    def held():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for name in (blocks.apply(i).toString() for i in range(blocks.size())) if name.startswith("shuffle_")}
+
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = held(), spark.conf.get(conf, None)
+    grouped = lambda n: spark.range(n).groupBy((F.col("id") % 7).alias("x")).agg(F.collect_list("id").alias("ids"))
+    table = cut(grouped(70), "grouped")
+    again = Rewritten(grouped(70), "again")
+    again.write(again.df.repartition(3, "x"))
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get(conf, None) == setting
+    assert {r["x"]: sorted(r["ids"]) for r in table.collect()} == {r["x"]: sorted(r["ids"]) for r in again.df.collect()} == {x: list(range(x, 70, 7)) for x in range(7)}
+
+
 def test_search_among_floats_gives_exact_distances(spark):
     x = np.random.default_rng(9).normal(size=(400, 6))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")

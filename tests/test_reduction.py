@@ -291,6 +291,43 @@ def test_edges_travel_as_one_row_of_each_point(spark, monkeypatch):
     assert seen == [40]
 
 
+def test_positions_travel_as_one_row_of_a_lot():
+    """A batch of points sends a row to each lot, and a lot a row to each block, with edges in order."""
+    ends = [[2, 3], [0, 2, 3], [1], []]
+    lots = [[2, 0], [1, 2, 0], [1], []]
+    lists = [pa.array(ends, pa.list_(pa.int64())), pa.array([[10.0 * i + j for j in e] for i, e in enumerate(ends)], pa.list_(pa.float64())), pa.array(lots, pa.list_(pa.int32()))]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3]), *lists, pa.array([0.5, 1.5, 2.5, 3.5]), pa.array([-0.5, -1.5, -2.5, -3.5])], names=["neighbour", "ids", "weights", "lots", "x", "y"])
+    sent = pa.Table.from_batches(descent._sent([batch]))
+    assert sent.to_pydict() == {"lot": [0, 1, 2], "ids": [[3, 3], [0, 1], [2, 2]], "others": [[0, 1], [1, 2], [0, 1]], "weights": [[3.0, 13.0], [10.0, 21.0], [2.0, 12.0]],
+                                "xs": [[0.5, 1.5], [1.5, 2.5], [0.5, 1.5]], "ys": [[-0.5, -1.5], [-1.5, -2.5], [-0.5, -1.5]]}
+    points = pa.table({**{c: pa.array(v, pa.int32()) for c, v in zip(descent.AT, ([1, 1, 1], [0, 1, 0], [0, 0, 0], [0, 0, 0]))}, "id": [3, 2, 1], **{c: [3.0 + i, 2.0, 1.0] for i, c in enumerate(descent.STATE)}})
+    rows = descent._gathered(sent, points).to_pydict()
+    assert rows["ids"] == [[1, 3], [2]] and rows["counts"] == [[1, 2], [2]] and rows["others"] == [[2, 0, 1], [0, 1]] and rows["weights"] == [[21.0, 3.0, 13.0], [2.0, 12.0]]
+    assert rows["xs"] == [[2.5, 0.5, 1.5], [0.5, 1.5]] and [len(x) for x in rows["states"]] == [14, 7] and rows["states"][0][7:9] == [3.0, 4.0]
+    assert descent._gathered(sent.slice(0, 0), points).to_pydict()["counts"] == [[0, 0], [0]]
+
+
+@pytest.mark.parametrize("weigh", [lambda d: layout.perplexity_weights(d, 4.0), lambda d: layout.fuzzy_weights(d, 12)])
+def test_rows_are_weighed_together_as_alone(weigh):
+    d = np.sort(np.random.default_rng(1).gamma(2.0, size=(50, 11)), axis=1)
+    d[0], d[1], d[2, :4] = 0.0, 2.0, 0.0
+    together = weigh(d)
+    assert together.shape == d.shape and np.array_equal(together, np.stack([weigh(row) for row in d]))
+    assert np.allclose(together[3:].sum(1), 1.0) or np.allclose(together[3:].sum(1), np.log2(12), atol=1e-4)
+
+
+def test_pushes_match_the_direct_sum(monkeypatch):
+    rng = np.random.default_rng(4)
+    law = layout.Membership(100, 200, 1.577, 0.895)
+    y, others, count = rng.normal(size=(40, 2)), rng.normal(size=(90, 2)) * 3, rng.integers(1, 9, size=90).astype(float)
+    others[:40] = y
+    gap = y[:, None] - others[None]
+    d2 = (gap * gap).sum(2)
+    force = 2.0 * 0.895 / ((0.001 + d2) * (1 + 1.577 * np.maximum(d2, 1e-12) ** 0.895))
+    monkeypatch.setattr(layout, "FORCES", 500)
+    assert np.allclose(law.pushes(y, others, count), (np.clip(force[..., None] * gap, -4.0, 4.0) * count[:, None]).sum(1), rtol=1e-12)
+
+
 def test_wide_vectors_do_not_travel_to_every_cell(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(size=(300, 24)), rng.integers(0, 2, size=(300, 24))]).astype(float)

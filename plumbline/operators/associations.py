@@ -17,6 +17,7 @@ from plumbline.functions.columns import as_number, col, families, known, numbers
 from plumbline.functions.tails import chi2_sf, f_sf, t_sf
 from plumbline.operators.frequencies import melt
 from plumbline.operators.ranking import missing_masks, numbered_rows, rank_correlations
+from plumbline.session import cut
 from plumbline.settings import DEFAULTS, Settings
 
 CAT_NUM, CAT_CAT, NUM_NUM = "categorical_numerical", "categorical_categorical", "numerical_numerical"
@@ -88,7 +89,7 @@ def chi2_independence(cells: DataFrame) -> DataFrame:
 
 def cramers_v(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(col_a, col_b, value, p_value, n); NULL where one side is constant or empty."""
-    tests = chi2_independence(contingency(df, pairs))
+    tests = chi2_independence(cut(contingency(df, pairs), "contingency"))            # read five times
     v = F.when(F.col("smaller_side") > 1, F.sqrt(F.col("chi2") / (F.col("n") * (F.col("smaller_side") - 1))))
     found = tests.select("col_a", "col_b", v.alias("value"), "n", F.when(F.col("smaller_side") > 1, F.col("chi2")).alias("chi2"), "dof")
     return (_listed(df, pairs).join(found, ["col_a", "col_b"], "left")
@@ -149,7 +150,7 @@ def anova_f(df: DataFrame, cats: list[str], nums: list[str], least_rows: int = 2
 
 def correlation_ratio(df: DataFrame, cats: list[str], nums: list[str]) -> DataFrame:
     """(col_a, col_b, value, p_value, n); NULL below two categories or without spread."""
-    moments = grouped_moments(df, cats, nums)
+    moments = cut(grouped_moments(df, cats, nums), "moments")            # read four times
     s = _sums_of_squares(moments)
     total = F.col("between") + F.col("within")
     eta = F.when((F.col("groups") >= 2) & (total > 0), F.sqrt(F.col("between") / F.nullif(total, F.lit(0.0))))

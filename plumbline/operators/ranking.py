@@ -3,8 +3,8 @@
 A column of few values needs no order of its rows: its values' counts, a bounded
 number, give the rank of each value, which tasks look up.
 
-All other columns are melted into rows (row, side, value) and dealt once by ranges of
-(side, value, row). A task then ranks its own stretch in place; how many rows of
+The cells (row, side, value) of every other column are dealt once by ranges of
+(value, row). A task then ranks its own stretch in place; how many rows of
 a side come before it, and how far a value reaches over a border, follows from
 the counts and border values of the stretches, two of each at most. A value
 that a third of the rows share spreads over as many tasks as it fills.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +75,11 @@ def stretches(sides: DataFrame, partners: dict[int, list[int]] | None = None) ->
     partners = {i: [] for i in range(len(names))} if partners is None else partners
     along = [f"o{j}" for j in range(max((len(p) for p in partners.values()), default=0))]
     other = lambda p, j: _value(names[p[j]]) if j < len(p) else F.lit(None).cast("double")
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), _value(names[i]).alias("value"), *[other(p, j).alias(o) for j, o in enumerate(along)]) for i, p in partners.items()]))
-    long = sides.select("row", cells.alias("cell")).select("cell.side", "cell.value", "row", *[f"cell.{o}" for o in along]).where("value is not null")
+
+    def cells(i: int, p: list[int]) -> DataFrame:
+        """A side's cells in order; equal values are dealt by row, but need no order among themselves, so that one number is the whole key."""
+        side = sides.select(F.lit(i).alias("side"), _value(names[i]).alias("value"), "row", *[other(p, j).alias(o) for j, o in enumerate(along)])
+        return side.where("value is not null").repartitionByRange("value", "row").sortWithinPartitions("value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -120,7 +124,7 @@ def stretches(sides: DataFrame, partners: dict[int, list[int]] | None = None) ->
         if held is not None:
             yield ranked(True, *held)
 
-    ordered = long.repartitionByRange("side", "value", "row").sortWithinPartitions("side", "value", "row")
+    ordered = reduce(DataFrame.unionAll, [cells(i, p) for i, p in partners.items()])
     schema = "row long, side int, part int, start long, run long, edge int, value double" + "".join(f", {o} double" for o in along)
     return cut(ordered.mapInArrow(run, schema), "stretches")
 
@@ -150,8 +154,11 @@ def _placed(batches: Iterator[pa.RecordBatch], before: dict, ranks: dict) -> Ite
         if not batch.num_rows:
             continue
         side, part, start, run, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
-        at, inverse = np.unique(side.astype(np.int64) << 32 | part, return_inverse=True)
-        offset = np.array([before[int(k >> 32), int(k & 0xFFFFFFFF)] for k in at])[inverse]
+        if (side[0] == side).all() and (part[0] == part).all():                  # as a stretch's file is, mostly
+            offset = before[int(side[0]), int(part[0])]
+        else:
+            at, inverse = np.unique(side.astype(np.int64) << 32 | part, return_inverse=True)
+            offset = np.array([before[int(k >> 32), int(k & 0xFFFFFFFF)] for k in at])[inverse]
         rank = offset + start + (run + 1) / 2
         borders = np.flatnonzero(edge != INNER)
         if len(borders):
@@ -165,7 +172,7 @@ def _row_ranks(table: DataFrame, before: dict, ranks: dict) -> DataFrame:
         for batch, side, rank in _placed(batches, before, ranks):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(side), pa.array(rank)], names=["row", "side", "rank"])
 
-    return table.mapInArrow(place, "row long, side int, rank double")
+    return table.select("row", "side", "part", "start", "run", "edge", "value").mapInArrow(place, "row long, side int, rank double")
 
 
 def row_ranks(sides: DataFrame) -> tuple[DataFrame, dict[int, int]]:

@@ -108,3 +108,25 @@ def test_no_rows_and_one(spark):
     for n in (0, 1):
         rows = associations.spearman(spark.createDataFrame([(1.0, 2.0)][:n], "a double, b double"), ["a", "b"]).collect()
         assert [(r["value"], r["p_value"], r["n"]) for r in rows] == [(0.0, None, n)]
+
+
+def test_cells_are_ordered_by_one_number(spark, monkeypatch):
+    """Each side's cells are dealt and sorted on their own: no comparison of side, value and row for every two cells."""
+    sides = spark.range(4000).select(associations.F.col("id").alias("row"), *[(associations.F.xxhash64("id", associations.F.lit(i)) / 1e9).alias(f"s{i}") for i in range(2)])
+    plans, plain = [], ranking.cut
+    monkeypatch.setattr(ranking, "cut", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, label))
+    ranks, total = ranking.row_ranks(sides)
+    sorts = [line.split("Sort [", 1)[1].split("], false")[0] for line in plans[0].splitlines() if "Sort [" in line]
+    assert len(sorts) == 2 and not any("," in s for s in sorts)
+    values, found = sides.toPandas().set_index("row"), ranks.toPandas().pivot(index="row", columns="side", values="rank")
+    assert all(np.array_equal(found[i].sort_index(), values[f"s{i}"].rank().sort_index()) for i in range(2)) and total == {0: 4000, 1: 4000}
+
+
+def test_groups_are_counted_in_one_scan(spark, monkeypatch):
+    """The tables of all pairs are written, not computed again for every sum over them."""
+    df = spark.createDataFrame([(f"c{i % 3}", f"d{i * i % 4}", float(i % 17), float(i)) for i in range(200)], "a string, b string, x double, y double")
+    written, plain = [], associations.cut
+    monkeypatch.setattr(associations, "cut", lambda table, label: written.append(label) or plain(table, label))
+    made = [associations.correlation_ratio(df, ["a", "b"], ["x", "y"]), associations.cramers_v(df, [("a", "b")])]
+    assert written == ["moments", "contingency"] and [m.count() for m in made] == [4, 1]
+    assert not any("LogicalRDD [a#" in m._jdf.queryExecution().optimizedPlan().toString() for m in made)

@@ -6,22 +6,26 @@ each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_number, col, families, known, numbers
 from plumbline.functions.tails import chi2_sf, f_sf, t_sf
 from plumbline.operators.frequencies import melt
-from plumbline.operators.ranking import missing_masks, numbered_rows, rank_correlations
-from plumbline.session import cut
+from plumbline.operators.ranking import missing_masks, numbered_rows, rank_correlations, summed, sums_of
+from plumbline.session import cut, ship
 from plumbline.settings import DEFAULTS, Settings
 
+ship(__name__)
+
 CAT_NUM, CAT_CAT, NUM_NUM = "categorical_numerical", "categorical_categorical", "numerical_numerical"
-FEW_COLUMNS = 4     # up to here plain corr() beats assembling vectors
+FEW_COLUMNS = 4     # up to here plain corr() beats products of matrices
+NO_SPREAD = 1e-12   # variances up to here count as none
 
 
 def column_pairs(types: DataFrame) -> DataFrame:
@@ -181,8 +185,21 @@ def pearson(wide: DataFrame, cols: list[str]) -> dict[tuple[str, str], float | N
     if means["0"] is None:
         return {p: None for p in pairs}
     centred = wide.select(*[(col(c) - means[str(i)]).alias(f"x{i}") for i, c in enumerate(cols)])
-    vectors = VectorAssembler(inputCols=[f"x{i}" for i in range(len(cols))], outputCol="v").transform(centred).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    width = len(cols)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([*(c.to_numpy(zero_copy_only=False) for c in batch.columns), np.ones(batch.num_rows)], 1)
+                sums += x.T @ x
+        yield sums_of(sums.ravel())
+
+    sums = summed(centred.mapInArrow(products, "pair long, product double"), (width + 1) ** 2).reshape(width + 1, width + 1)
+    n = sums[-1, -1]
+    spread = (sums[:-1, :-1] - np.outer(sums[-1, :-1], sums[-1, :-1]) / n) / max(n - 1, 1)
+    deviation = np.sqrt(np.where(np.diag(spread) > NO_SPREAD, np.diag(spread), np.nan))
+    matrix = spread / np.outer(deviation, deviation)
     at = {c: i for i, c in enumerate(cols)}
     return {(a, b): _number(matrix[at[a], at[b]]) for a, b in pairs}
 

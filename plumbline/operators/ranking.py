@@ -182,7 +182,7 @@ def row_ranks(sides: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     return _row_ranks(table, before, ranks), total
 
 
-def _summed(parts: DataFrame, n: int) -> np.ndarray:
+def summed(parts: DataFrame, n: int) -> np.ndarray:
     """The sums of (pair, product) rows of n pairs."""
     out = np.zeros(n)
     for r in parts.groupBy("pair").agg(F.sum("product").alias("product")).collect():
@@ -190,7 +190,7 @@ def _summed(parts: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _sums(sums: np.ndarray) -> pa.RecordBatch:
+def sums_of(sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["pair", "product"])
 
 
@@ -225,10 +225,10 @@ def rank_correlations(sides: DataFrame, pairs: list[tuple[int, int]]) -> dict[tu
                 if batch.num_rows:
                     matrix = np.stack([looked_up(i, batch.column(at).to_numpy(zero_copy_only=False).astype(float)) for at, i in enumerate(met)], 1)
                     sums += (matrix.T @ matrix)[a, b]
-            yield _sums(sums)
+            yield sums_of(sums)
 
         parts = sides.select(*[_value(names[i]).alias(f"v{i}") for i in met]).mapInArrow(coded, "pair long, product double")
-        product |= dict(zip(simple, _summed(parts, len(simple))))
+        product |= dict(zip(simple, summed(parts, len(simple))))
 
     ranged = [i for i in range(width) if i not in few]
     if ranged:
@@ -249,9 +249,9 @@ def rank_correlations(sides: DataFrame, pairs: list[tuple[int, int]]) -> dict[tu
                     of = side == i
                     if of.any():
                         sums[width + n] += rank[of] @ looked_up(x, batch.column(7 + at).to_numpy(zero_copy_only=False)[of])
-            yield _sums(sums)
+            yield sums_of(sums)
 
-        sums = _summed(table.mapInArrow(along, "pair long, product double"), width + len(places))
+        sums = summed(table.mapInArrow(along, "pair long, product double"), width + len(places))
         own += sums[:width]
         with_few = {(i, x): s for (i, x, _), s in zip(places, sums[width:])}
         product |= {p: with_few[p if p in with_few else p[::-1]] for p in mixed}
@@ -259,7 +259,7 @@ def rank_correlations(sides: DataFrame, pairs: list[tuple[int, int]]) -> dict[tu
         wide = [p for p in pairs if p[0] not in few and p[1] not in few]
         if wide:
             met = sorted({i for p in wide for i in p})
-            product |= dict(zip(wide, _summed(_joined(_row_ranks(table.where(F.col("side").isin(met)), before, ranks), wide, centre), len(wide))))
+            product |= dict(zip(wide, summed(_joined(_row_ranks(table.where(F.col("side").isin(met)), before, ranks), wide, centre), len(wide))))
 
     out = {}
     for p, q in pairs:
@@ -293,7 +293,7 @@ def _joined(ranks: DataFrame, pairs: list[tuple[int, int]], centre: np.ndarray)
                 add(*(x[:whole] for x in now))
         if held is not None:
             add(*held)
-        yield _sums(sums)
+        yield sums_of(sums)
 
     return ranks.repartition("row").sortWithinPartitions("row").mapInArrow(products, "pair long, product double")
 

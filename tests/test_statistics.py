@@ -204,9 +204,9 @@ def test_correlations_of_many_columns_take_one_pass(spark, monkeypatch):
     x = rng.normal(size=(500, 6)) @ rng.normal(size=(6, 6)) + 1e6
     x[:, 4], x[:, 5] = 7.0, 2 * x[:, 0]
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{i} double" for i in range(6))).repartition(4)
-    asked, plain = [], associations.summed
-    monkeypatch.setattr(associations, "summed", lambda parts, n: asked.append(n) or plain(parts, n))
-    found = associations.pearson(df, df.columns)
+    asked, plain = [], A.summed
+    monkeypatch.setattr(A, "summed", lambda parts, n: asked.append(n) or plain(parts, n))
+    found = A.pearson(df, df.columns)
     assert asked == [49] and len(found) == 15 and all(v is None for p, v in found.items() if "c4" in p)
     want = np.corrcoef(x[:, [0, 1, 2, 3, 5]].T)
     names = ["c0", "c1", "c2", "c3", "c5"]
